@@ -42,6 +42,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table_rows(df: DataFrame) -> bool:
+    """Whether ``df`` has any row."""
+    return bool(df.limit(1).count())
+
+
+def bound_batches(spark: SparkSession, rows: int = 4000, bytes_: int = 8 << 20) -> None:
+    """Keep the batches that go to Python small, whatever the length of the texts:
+    the session's limits are lowered to these, never raised."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)):
+        now = spark.sql(f"SET {key}").first()["value"]
+        number = int("".join(c for c in now if c.isdigit() or c == "-") or 0)
+        if not 0 < number <= most:
+            spark.conf.set(key, str(most))
+
+
 def ascii_lower(text):
     """Lower-case A-Z and nothing else. ``lower`` has a fast path for plain
     ASCII, where the two agree; only other texts go letter by letter."""

@@ -24,23 +24,26 @@ HOST_LIMIT = 0.7
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def signals(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """``key``, ``host``, the five counts and ``base_failed``; no shuffle.
+def signals(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", carry: bool = False) -> DataFrame:
+    """``doc_id``, ``host``, the five counts and ``base_failed``; no shuffle. With
+    ``carry``, also ``row``, a struct of the document's columns.
 
     Windows are told apart by a 64-bit hash of their eight words. Most texts
     repeat none, which one distinct set shows; only the others pay for sorting
     their windows.
     """
     n = F.col("n_words")
-    raw = docs.select(F.col(key).alias("doc_id"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    split = raw.select("doc_id", "host", "t", F.btrim("t", F.lit(SPACES)).alias("inner"), F.filter(F.split("t", "\n", -1), lambda line: line.rlike(f"[^{SPACE_CLASS}]")).alias("lines"))
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
+    own = ["doc_id", "host", *(["row"] if carry else [])]
+    raw = docs.select(docs[key].alias("doc_id"), docs[host].alias("host"), *row, F.coalesce(docs[text], F.lit("")).alias("t"))
+    split = raw.select(*own, "t", F.btrim("t", F.lit(SPACES)).alias("inner"), F.filter(F.split("t", "\n", -1), lambda line: line.rlike(f"[^{SPACE_CLASS}]")).alias("lines"))
     words = split.select(
-        "doc_id", "host", "lines",
+        *own, "lines",
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.when(F.col("inner") == "", F.array().cast("array<string>")).otherwise(F.split("inner", f"[{SPACE_CLASS}]+", -1)).alias("words"),
     )
     windows = words.select(
-        "doc_id", "host", "n_symbols",
+        *own, "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -61,9 +64,9 @@ def signals(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
         lambda s, i: F.struct((s["sum"] + F.least(F.lit(WINDOW), i + WINDOW - s["end"])).alias("sum"), (i + WINDOW).alias("end")),
         lambda s: s["sum"],
     )
-    counted = twice.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    counted = twice.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
     failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
-    return counted.select("doc_id", "host", *COUNTS, failed.alias("base_failed"))
+    return counted.select(*own, *COUNTS, failed.alias("base_failed"))
 
 
 def host_rates(flags: DataFrame) -> DataFrame:
@@ -92,3 +95,11 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     joined = flags.join(bad, "host", "left")
     rejected = F.coalesce("host_rejected", F.lit(False))
     return joined.select(F.col("doc_id").alias(key), "host", *COUNTS, "base_failed", rejected.alias("host_rejected"), (~F.col("base_failed") & ~rejected).alias("kept"))
+
+
+def drop_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
+    """``docs`` without the rows that :func:`quality_rules` rejects. The rows go
+    along with their signals, so they are not joined by key."""
+    flags = written(signals(docs, key, text, host, carry=True).select("row", "host", "base_failed"), "quality")
+    bad = host_rates(flags.select("host", "base_failed")).where(F.col("rate") > host_limit).select("host")
+    return flags.where(~F.col("base_failed")).join(bad, "host", "left_anti").select("row.*")
