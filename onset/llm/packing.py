@@ -5,8 +5,8 @@ a pool. A window takes the longest waiting remainder and then, of all multisets
 waiting lengths, one whose sum comes closest to what the window has left. Sums
 that can be reached are the bits of an integer, one for each length and power of
 two of its count, and the counts are found by going back through those integers.
-Only when a partition has no more rows, a remainder is cut to fill what no sum
-could; the last window is cut into powers of two, which need no padding.
+A remainder is cut only to fill what no sum could; a partition's last window is
+cut into powers of two, which need no padding.
 
 A partition's state is the pool: at most ``POOL`` remainders of under one window,
 whatever the input. There is no shuffle, so a task that runs again gives the same
@@ -59,7 +59,8 @@ class Packer:
     sequence, offset."""
 
     def __init__(self, first_sequence: int = 0, window: int = WINDOW, pool: int = POOL):
-        self.window, self.most, self.sequence = window, pool, first_sequence
+        # so many remainders fill a window, however short
+        self.window, self.most, self.sequence = window, max(pool, window), first_sequence
         self.counts: dict[int, int] = {}
         self.waiting: dict[int, list] = {}  # by length: key, start, ids, length of the document
         self.n = 0
@@ -90,6 +91,11 @@ class Packer:
         if room := self.window - len(items[0][2]):
             for size, times in best_multiset(self.counts, room).items():
                 items += [self._take(size) for _ in range(times)]
+        room = self.window - sum(len(x[2]) for x in items)
+        if room and self.n:  # every waiting remainder is longer than the room: one is cut
+            key, start, ids, size = self._take(max(self.counts))
+            items.append((key, start, ids[:room], size))
+            self._wait((key, start + room, ids[room:], size))
         return items
 
     def add(self, key, ids: np.ndarray) -> Iterator[tuple]:
@@ -104,16 +110,10 @@ class Packer:
     def end(self) -> Iterator[tuple]:
         while self.n:
             items = self._window()
-            room = self.window - sum(len(x[2]) for x in items)
-            if room and self.n:  # every waiting remainder is longer than the room
-                key, start, ids, size = self._take(max(self.counts))
-                items.append((key, start, ids[:room], size))
-                self._wait((key, start + room, ids[room:], size))
-                room = 0
-            if not room:
+            used = sum(len(x[2]) for x in items)
+            if used == self.window:
                 yield from self._lay(items)
                 continue
-            used = self.window - room
             while used:
                 step, part = 1 << used.bit_length() - 1, []
                 used -= step

@@ -18,6 +18,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = 0, 1, 2, 3, 255
 
@@ -32,7 +33,7 @@ def byte_letters() -> dict[int, str]:
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """``batch`` in runs of rows with at most ``most`` bytes of ``column``; a
     longer text is a run of its own."""
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
@@ -143,7 +144,7 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and where each text's ids
         begin (one more entry: the end)."""
-        texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         if offsets[-1] == offsets[0]:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
@@ -152,7 +153,7 @@ class PieceEncoder:
         cuts = self.cuts(data, offsets)
         bounds = np.append(cuts, data.size)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), cuts.size, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
-        which = pa.compute.index_in(pieces, value_set=self.known)
+        which = pc.index_in(pieces, value_set=self.known)
         lacking = which.is_null()
         which = np.array(which.fill_null(-1))
         if (which < 0).any():

@@ -50,7 +50,7 @@ _DIGIT = re.compile(r"\d")
 PATTERNS = [
     ("ipv4", re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)", re.A)),
     ("card", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", re.A)),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])", re.A)),
+    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])", re.A)),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A)),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", re.A)),
     ("mac", re.compile(r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b(?![:-])", re.A)),
@@ -132,7 +132,7 @@ def surrogate(kind: str, text: str, key: bytes = KEY, by: int = 1) -> str:
         return head + S.same_format(key, head, text[len(head) :], by)
     if kind == "given":
         return S.from_list(key, "given", GIVEN[_GENDER[text]], text, by)
-    if kind in ("secret", "mac", "ipv6") and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
+    if kind in ("mac", "ipv6") or kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
         return S.hexadecimal(key, kind, text, by)
     return S.same_format(key, kind, text, by)
 

@@ -10,6 +10,7 @@ format stays.
 from __future__ import annotations
 
 import hashlib
+import string
 from functools import lru_cache
 
 #: Alphabets by script and case. A letter is replaced within its alphabet.
@@ -80,10 +81,13 @@ def same_format(key: bytes, tweak: str, text: str, by: int = 1) -> str:
 
 
 def hexadecimal(key: bytes, tweak: str, text: str, by: int = 1) -> str:
-    """As :func:`same_format` for a string of hexadecimal digits in one case."""
-    n = len(text)
-    value = f"{shifted(key, f'{tweak}{n}', 16**n, int(text, 16), by):0{n}x}"
-    return value.upper() if text != text.lower() else value
+    """As :func:`same_format` for hexadecimal digits, upper case if the old ones
+    are; what stands between them stays."""
+    digits = "".join(c for c in text if c in string.hexdigits)
+    form = "".join("0" if c in string.hexdigits else c for c in text)
+    new = f"{shifted(key, f'{tweak}{form}', 16 ** len(digits), int(digits, 16), by):0{len(digits)}x}"
+    it = iter(new.upper() if text == text.upper() and text != text.lower() else new)
+    return "".join(next(it) if c in string.hexdigits else c for c in text)
 
 
 def luhn(digits: str) -> bool:
