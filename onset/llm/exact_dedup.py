@@ -17,19 +17,26 @@ an empty result; further columns are carried by :func:`drop_copies` and not read
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from onset.llm.common import ascii_lower, new_path, table_rows, written
+from onset.llm.common import ascii_lower, bound_batches, new_path, table_rows, written
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Arrival files that one micro-batch takes.
 FILES = 2000
@@ -73,6 +80,33 @@ def _locator(key: str) -> Column:
     return F.struct(F.col(f"doc.`{key}`").alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at")
 
 
+def contents(hits: DataFrame, text: str) -> DataFrame:
+    """``digest`` and ``t`` of the rows at ``file`` and ``row``. Only the files'
+    texts are read, where they lie; no text of any other row is shuffled. A task
+    holds the row numbers of one file, which one task has written."""
+    bound_batches(hits.sparkSession)
+    column = f"doc.{text}"
+
+    def read(file: str, digests: list[str], numbers: list[int]) -> Iterator[pa.RecordBatch]:
+        fs, path = FileSystem.from_uri(file)
+        with fs.open_input_file(path) as source:
+            parquet, first, wanted = pq.ParquetFile(source), 0, np.array(numbers)
+            for batch in parquet.iter_batches(batch_size=1000, columns=[column]):
+                here = np.flatnonzero((wanted >= first) & (wanted < first + batch.num_rows))
+                if here.size:
+                    texts = batch.column(0).field(0).take(pa.array(wanted[here] - first))
+                    yield pa.RecordBatch.from_pydict({"digest": [digests[i] for i in here], "t": texts.cast(pa.string())})
+                first += batch.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("file", "digest", "row")), strict=True))
+        for file, some in groupby(rows, itemgetter(0)):
+            _, digests, numbers = zip(*some, strict=True)
+            yield from read(file, list(digests), list(numbers))
+
+    return hits.select("digest", "file", "row").repartition("file").sortWithinPartitions("file", "row").mapInArrow(run, "digest string, t string")
+
+
 def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """``doc`` (a struct of the columns of ``docs``), ``digest``, ``n``, ``keep``
     (the key that stays) and ``kept``."""
@@ -86,16 +120,16 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: C
         return stored.select("doc", "digest", F.lit(1).cast("long").alias("n"), F.col(f"doc.`{key}`").alias("keep"), F.lit(True).alias("kept"))
     rows = stored.select("doc", "digest", _locator(key))
     groups = written(track(spark, arrivals, state, schema, key).where("n > 1"), "copies")
-    # hits: whole texts of one digest are equal if the smallest is the largest
-    hits = rows.select("digest", same.alias("t")).join(groups.select("digest"), "digest")
-    unlike = written(hits.groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("digest"), "unlike")
+    # whole texts of one digest are equal if the smallest is the largest
+    found = contents(rows.select("digest", "at.file", "at.row").join(groups.select("digest"), "digest"), text)
+    unlike = written(found.select("digest", normalised(F.col("t")).alias("t")).groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("digest"), "unlike")
     if not table_rows(unlike):
-        joined = rows.join(groups, "digest", "left")
+        joined = rows.join(groups.hint("merge"), "digest", "left")
     else:
         split = rows.select("digest", same.alias("t"), "at").join(unlike, "digest").groupBy("digest", "t").agg(F.count("*").alias("n"), F.max("at").alias("keep"))
         whole = groups.join(unlike, "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("t"), "n", "keep")
         groups = split.unionByName(whole).withColumnRenamed("digest", "of")
-        joined = rows.join(groups, (F.col("digest") == F.col("of")) & (F.col("t").isNull() | (F.col("t") == same)), "left")
+        joined = rows.join(groups.hint("merge"), (F.col("digest") == F.col("of")) & (F.col("t").isNull() | (F.col("t") == same)), "left")
     keep = F.coalesce("keep", "at")
     return joined.select("doc", "digest", F.coalesce("n", F.lit(1).cast("long")).alias("n"), keep["key"].alias("keep"), (keep == F.col("at")).alias("kept"))
 

@@ -224,4 +224,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the row of the smallest key of each class only."""
     losers = near_duplicates(docs, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_key")).distinct()
-    return docs.join(losers, docs[key] == losers["_key"], "left_anti")
+    return docs.join(losers.hint("merge"), docs[key] == losers["_key"], "left_anti")
