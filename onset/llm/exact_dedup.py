@@ -104,7 +104,8 @@ def contents(hits: DataFrame, text: str) -> DataFrame:
             _, digests, numbers = zip(*some, strict=True)
             yield from read(file, list(digests), list(numbers))
 
-    return hits.select("digest", "file", "row").repartition("file").sortWithinPartitions("file", "row").mapInArrow(run, "digest string, t string")
+    n = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows are few, what they locate is not
+    return hits.select("digest", "file", "row").repartition(n, "file").sortWithinPartitions("file", "row").mapInArrow(run, "digest string, t string")
 
 
 def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
