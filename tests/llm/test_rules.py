@@ -56,6 +56,15 @@ def test_bad_hosts_go_whole(spark):
     assert ordered(quality_rules.drop_rejected(docs).select("doc_id").collect()) == ordered(rows.where("kept").select("doc_id").collect())
 
 
+def test_many_bad_hosts_are_salted(spark, monkeypatch):
+    few = quality_rules.quality_rules(odd(spark), host_limit=0.0)
+    want = ordered(few.collect())
+    kept = ordered(quality_rules.drop_rejected(odd(spark), host_limit=0.0).select("doc_id").collect())
+    monkeypatch.setattr(quality_rules, "FEW_HOSTS", 0)
+    assert ordered(quality_rules.quality_rules(odd(spark), host_limit=0.0).collect()) == want
+    assert ordered(quality_rules.drop_rejected(odd(spark), host_limit=0.0).select("doc_id").collect()) == kept
+
+
 def brute_dedup(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
     groups: dict[str, list] = {}
     for key, text in rows:
