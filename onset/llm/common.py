@@ -42,6 +42,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that :func:`join_few` broadcasts at most; salts beyond.
+FEW, SALTS = 100_000, 32
+
+
+def join_few(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: str) -> DataFrame:
+    """Join with a table that has each key once and few keys as a rule. It is
+    written and counted first: up to ``FEW`` rows are broadcast, so ``left`` stays
+    where it is; more are copied to ``SALTS`` salts, over which the rows of each
+    key are dealt by their column ``spread``."""
+    right = written(right, "few")
+    if right.count() <= FEW:
+        return left.join(F.broadcast(right), on, how)
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def table_rows(df: DataFrame) -> bool:
     """Whether ``df`` has any row."""
     return bool(df.limit(1).count())

@@ -15,14 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onset.llm.common import SPACE_CLASS, SPACES, beta_prior, written
+from onset.llm.common import SPACE_CLASS, SPACES, beta_prior, join_few, written
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 HOST_LIMIT = 0.7
-#: Rejected hosts that are broadcast at most; salts beyond.
-FEW_HOSTS, SALTS = 100_000, 32
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -83,18 +81,6 @@ def host_rates(flags: DataFrame) -> DataFrame:
     return by_host.select("host", "n", "bad", ((F.col("bad") + alpha) / (F.col("n") + (alpha + beta))).alias("rate"))
 
 
-def _by_host(flags: DataFrame, bad: DataFrame, how: str) -> DataFrame:
-    """Join with the rejected hosts. They are counted first: few are broadcast, so
-    the documents stay where they are; more are copied to ``SALTS`` salts, over
-    which the documents of each host are dealt."""
-    bad = written(bad, "rejected-hosts")
-    if bad.count() <= FEW_HOSTS:
-        return flags.join(F.broadcast(bad), "host", how)
-    salted = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = flags.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["host", "_salt"], how).drop("_salt")
-
-
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """One row a document: ``key``, ``host``, the counts, ``base_failed``,
     ``host_rejected`` and ``kept``.
@@ -104,7 +90,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     """
     flags = written(signals(docs, key, text, host), "quality")
     bad = host_rates(flags).where(F.col("rate") > host_limit).select("host", F.lit(True).alias("host_rejected"))
-    joined = _by_host(flags, bad, "left")
+    joined = join_few(flags, bad, ["host"], "left", "doc_id")
     rejected = F.coalesce("host_rejected", F.lit(False))
     return joined.select(F.col("doc_id").alias(key), "host", *COUNTS, "base_failed", rejected.alias("host_rejected"), (~F.col("base_failed") & ~rejected).alias("kept"))
 
@@ -114,4 +100,4 @@ def drop_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     along with their signals, so they are not joined by key."""
     flags = written(signals(docs, key, text, host, carry=True).select("row", "doc_id", "host", "base_failed"), "quality")
     bad = host_rates(flags.select("host", "base_failed")).where(F.col("rate") > host_limit).select("host")
-    return _by_host(flags.where(~F.col("base_failed")), bad, "left_anti").select("row.*")
+    return join_few(flags.where(~F.col("base_failed")), bad, ["host"], "left_anti", "doc_id").select("row.*")

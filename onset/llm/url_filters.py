@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onset.llm.common import ascii_lower, beta_prior, written
+from onset.llm.common import ascii_lower, beta_prior, join_few, written
 
 #: verdict, rule: host, then the start of the path
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -71,8 +71,8 @@ def reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z) -> DataF
     weak, mid, strong = _strength(suffixes), _strength(domains), _strength(hosts)
     shrunk = lambda n, bad, prior, worth: (F.col(bad) + prior * worth) / (F.col(n) + worth)
     suffixes = suffixes.select("suffix", shrunk("n", "bad", F.lit(overall), weak).alias("of_suffix"))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", shrunk("n", "bad", F.col("of_suffix"), mid).alias("of_domain"))
-    rated = hosts.join(domains, ["domain", "suffix"]).withColumn("mean", shrunk("n", "bad", F.col("of_domain"), strong))
+    domains = join_few(domains, suffixes, ["suffix"], "inner", "domain").select("domain", "suffix", shrunk("n", "bad", F.col("of_suffix"), mid).alias("of_domain"))
+    rated = join_few(hosts, domains, ["domain", "suffix"], "inner", "host").withColumn("mean", shrunk("n", "bad", F.col("of_domain"), strong))
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + (strong + 1)))
     return rated.select("host", "n", "bad", "mean", (F.col("mean") - sd * z).alias("bound")).withColumn("blocked", F.col("bound") > limit)
 
@@ -91,4 +91,4 @@ def url_filters(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     judged = reputation(seen.select("page_id", "host").join(known, "page_id", "left").select("host", "bad"), limit)
     blocked = judged.where("blocked").select("host", F.lit("block").alias("by_host"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    return seen.join(blocked, "host", "left").select(F.col("page_id").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("by_host"), F.lit("allow")).alias("verdict"))
+    return join_few(seen, blocked, ["host"], "left", "page_id").select(F.col("page_id").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("by_host"), F.lit("allow")).alias("verdict"))

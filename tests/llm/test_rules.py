@@ -4,9 +4,10 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from onset.llm import exact_dedup, licenses, quality_rules, url_filters
+from onset.llm import common, exact_dedup, licenses, quality_rules, url_filters
 from onset.llm.queries import op3_licenses, op6_quality_rules, op7_exact_dedup, op8_url_filters
 from tests.llm.samples import ODD, SCHEMA, SF, documents, odd, ordered
 
@@ -60,7 +61,7 @@ def test_many_bad_hosts_are_salted(spark, monkeypatch):
     few = quality_rules.quality_rules(odd(spark), host_limit=0.0)
     want = ordered(few.collect())
     kept = ordered(quality_rules.drop_rejected(odd(spark), host_limit=0.0).select("doc_id").collect())
-    monkeypatch.setattr(quality_rules, "FEW_HOSTS", 0)
+    monkeypatch.setattr(common, "FEW", 0)
     assert ordered(quality_rules.quality_rules(odd(spark), host_limit=0.0).collect()) == want
     assert ordered(quality_rules.drop_rejected(odd(spark), host_limit=0.0).select("doc_id").collect()) == kept
 
@@ -167,7 +168,9 @@ def test_urls_odd(spark):
     assert url_filters.url_filters(pages, labels.limit(0)).count() == len(rows)
 
 
-def test_reputation_blocks_bad_hosts_and_shrinks_small_ones(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_reputation_blocks_bad_hosts_and_shrinks_small_ones(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
     rows = [("bad.a.com", i % 20 != 0) for i in range(200)] + [("good.b.com", i % 20 == 0) for i in range(4000)] + [("once.c.com", True)] + [("quiet.d.com", None)]
     outcomes = spark.createDataFrame([(h, None if b is None else int(b)) for h, b in rows], "host string, bad int")
     found = {r["host"]: r for r in url_filters.reputation(outcomes).collect()}
