@@ -297,3 +297,40 @@ def neighbor_pairs(spark, sf_dir):
 
     points = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
     return near_pairs(points, "vec_id", "x", "y", 2.0)
+
+
+@query("""SELECT l_orderkey AS doc, l_linenumber AS level, 'p' || l_suppkey AS path, CAST(l_shipdate AS DATE) AS capture_date, CAST(l_partkey AS INTEGER) AS version FROM lineitem WHERE l_returnflag <> 'R'""")
+def parse_info_text(spark, sf_dir):
+    """Line items printed as a provider's text, then read back."""
+    from onset.operators.review import header_lines
+
+    line = F.format_string("Level=%d, Path=p%d\n%s", "l_linenumber", "l_suppkey", F.when(F.col("l_returnflag") != "R", F.format_string(" date=%s, version=%d", F.date_format("l_shipdate", "yyyy/MM/dd"), "l_partkey")).otherwise(" none"))
+    texts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.concat(F.lit(" date=2000/01/01, version=1\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
+    return header_lines(texts, "doc", "text")
+
+
+def _responses(spark, sf_dir):
+    """A response a document; some lines have the wrong type, index or form."""
+    present = F.when(F.col("l_returnflag") == "R", "null").when(F.col("l_tax") == 0, "1").when(F.col("l_linestatus") == "O", "true").otherwise("false")
+    line = F.format_string('{"chip_index": %d, "pv_present": %s, "confidence": %s, "quality_flag": "usable"}', "l_linenumber", present, F.col("l_discount").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("o"), F.when(F.col("l_suppkey") % 10 == 0, F.lit("```json")).otherwise(line).alias("line"))
+    return rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("text")).withColumn("n", F.lit(5))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS doc, CAST(l_linenumber AS INTEGER) AS chip_index, CASE WHEN l_returnflag <> 'R' THEN l_linestatus = 'O' END AS pv_present, l_discount AS confidence, 'usable' AS quality_flag,
+row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem WHERE l_suppkey % 10 <> 0 AND l_linenumber <= 5 AND (l_returnflag = 'R' OR l_tax <> 0))
+SELECT doc, chip_index, pv_present, confidence, quality_flag FROM r WHERE rn = 1""")
+def jsonl_lenient(spark, sf_dir):
+    from onset.operators.review import lenient_lines
+
+    return lenient_lines(_responses(spark, sf_dir), "doc", "text", "n")
+
+
+@query("""WITH g AS (SELECT l_orderkey AS doc, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R' OR l_tax <> 0) AS good, count(DISTINCT l_linenumber) AS d, max(l_linenumber) AS hi, min(l_linenumber) AS lo FROM lineitem WHERE l_suppkey % 10 <> 0 GROUP BY 1)
+SELECT doc, good = n AND d = n AND hi = n AND lo = 1 AS ok FROM g""")
+def strict_doc_validity(spark, sf_dir):
+    from onset.operators.review import strict_documents
+
+    lines = _responses(spark, sf_dir).withColumn("_l", F.filter(F.split("text", "\n"), lambda x: x.startswith("{"))).where(F.size("_l") > 0)
+    docs = lines.select("doc", F.size("_l").alias("n"), F.concat(F.lit('```json\n{"observations": ['), F.array_join("_l", ","), F.lit("]}\n```")).alias("text"))
+    return strict_documents(docs, "doc", "text", "n")
