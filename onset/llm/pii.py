@@ -17,7 +17,7 @@ an empty result; further columns are carried by :func:`with_surrogates`.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,14 +52,21 @@ PATTERNS = [
     ("card", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", re.A)),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-])", re.A)),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A)),
-    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", re.A)),
+    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.A)),
     ("mac", re.compile(r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b(?![:-])", re.A)),
     ("ipv6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])", re.A)),
     ("key", re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}", re.A)),
 ]
 #: What each pattern's text must hold, looked for first.
 NEEDS = {"ipv4": ".", "phone": None, "iban": None, "mac": None, "ipv6": ":", "ssn": "-", "card": None, "key": None}
-SECRET = re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}([\"']?)([^\s\"'#*$%&|<>,;]{6,})\1")
+#: Types with check digits: how many letters and digits at least, and the check.
+CHECKED = {"card": (13, lambda x: S.luhn(re.sub(r"\D", "", x))), "iban": (15, S.iban_valid)}
+#: A value in quotes goes to the closing one. Others go to white space, a tag or the
+#: next name and value, less the symbols at their end.
+SECRET = re.compile(
+    r"(?i)(?<![^\W_])(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}"
+    r"(?:\"((?:\\.|[^\"\\\n]){6,})\"|'((?:\\.|[^'\\\n]){6,})'|[\"']?((?:(?![&,;|][\"']?\w+[\"']?[=:]|</?\w+>)\S){6,}(?<![\"'#*$%&|<>,;])))"
+)
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
 _LOCAL, _DOMAIN = re.compile(r"[\w.%+'-]+$"), re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
 
@@ -75,6 +82,19 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def _checked(pattern: re.Pattern, text: str, least: int, valid: Callable[[str], bool]) -> Iterator[tuple[int, int]]:
+    """Of each start of a match the longest part of ``least`` letters and digits or
+    more that ends with a group and has right check digits."""
+    at = 0
+    while m := pattern.search(text, at):
+        a, at = m.start(), m.start() + 1
+        for b in range(m.end(), a, -1):
+            if text[b - 1].isalnum() and not text[b : b + 1].isalnum() and sum(c.isalnum() for c in text[a:b]) >= least and valid(text[a:b]):
+                yield a, b
+                at = b
+                break
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Start, end and type of each entity, in order and apart from each other."""
     found = [(a, b, "email") for a, b in _emails(text)] if "@" in text else []
@@ -83,14 +103,15 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             need = NEEDS[kind]
             if need and need not in text:
                 continue
+            if kind in CHECKED:
+                found += [(a, b, kind) for a, b in _checked(pattern, text, *CHECKED[kind])]
+                continue
             for m in pattern.finditer(text):
-                if kind == "card" and not S.luhn(re.sub(r"\D", "", m[0])) or kind == "iban" and not S.iban_valid(m[0]):
-                    continue
                 if kind == "ipv6" and not any(c.isdigit() for c in m[0]):
                     continue
                 found.append((m.start(), m.end(), kind))
     if "=" in text or ":" in text:
-        found += [(m.start(2), m.end(2), "secret") for m in SECRET.finditer(text)]
+        found += [(*m.span(m.lastindex), "secret") for m in SECRET.finditer(text) if any(c.isalnum() for c in m[m.lastindex])]
     if "PRIVATE KEY" in text:
         found += [(m.start() + m[0].index("\n") if "\n" in m[0] else m.start(), m.end() - len(m[0]) + m[0].rindex("-----END"), "secret") for m in PEM.finditer(text)]
     if _HINT.search(text):
