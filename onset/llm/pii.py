@@ -6,7 +6,10 @@ different entities of a type and format have different ones (see
 :mod:`onset.llm.surrogates`). Names keep gender and script, cards and bank
 accounts their check digits, addresses and keys their format. Within a document
 the surrogates are checked against each other and against the text; one that
-collides is drawn again, for that document.
+collides is drawn again, for that document. Where no draw is free (a text with most
+names of a list, or short names in a long text), all entities of that type are
+shifted together: they stay apart, and a surrogate may then be a word of the old
+text, which is replaced itself where it was found as an entity.
 
 Defined cases: a null text stays null and has no entities; an empty text stays
 empty; texts of any length are read whole; overlapping matches go to the one that
@@ -38,6 +41,8 @@ GIVEN = {
 }
 #: Titles before a name, with the gender that they tell.
 TITLES = {"Mr": "m", "Mr.": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Señora": "f", "Dr.": "", "Prof.": ""}
+#: Common shifts that are tried where a type's single draws run out.
+SHIFTS = 60
 _GENDER = {name: where for where, names in GIVEN.items() for name in names}
 _CAP = r"[^\W\d_a-zà-ÿ][^\W\d_]+"
 _given = "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
@@ -158,6 +163,26 @@ def surrogate(kind: str, text: str, key: bytes = KEY, by: int = 1) -> str:
     return S.same_format(key, kind, text, by)
 
 
+def _together(kind: str, olds: list[str], others: set[str], rest: str, key: bytes) -> dict[tuple[str, str], str]:
+    """Surrogates of all of a document's entities of a type by one common shift,
+    which is a permutation and so keeps them apart. Of ``SHIFTS`` shifts the first
+    that repeats no surrogate, moves all, and meets no surrogate of another type
+    and no word of ``rest``; else the one that fails these least, in this order."""
+
+    def faults(news: list[str]) -> tuple[int, ...]:
+        words = [x for x in news if x in rest and re.search(rf"(?<!\w){re.escape(x)}(?!\w)", rest)]
+        return len(news) - len(set(news)), sum(a == b for a, b in zip(olds, news, strict=True)), len(others.intersection(news)), len(words)
+
+    best = None
+    for by in range(1, SHIFTS + 1):
+        news = [surrogate(kind, old, key, by) for old in olds]
+        if best is None or faults(news) < best[0]:
+            best = faults(news), news
+            if not any(best[0]):
+                break
+    return {(kind, old): new for old, new in zip(olds, best[1], strict=True)}
+
+
 def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The text with surrogates, and the entities at their old places."""
     spans = entities(text) if text else []
@@ -165,18 +190,28 @@ def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[
         return text, []
     chosen: dict[tuple[str, str], str] = {}
     used: set[str] = set()
-    parts, at = [], 0
+    crowded: set[str] = set()
     for a, b, kind in spans:
         old = text[a:b]
-        if (kind, old) not in chosen:
-            new = old
-            for by in range(1, 20):
-                new = surrogate(kind, old, key, by)
-                if new not in used and new not in text:
-                    break
-            chosen[kind, old] = new
-            used.add(new)
-        parts += [text[at:a], chosen[kind, old]]
+        if (kind, old) in chosen:
+            continue
+        for by in range(1, 20):
+            new = surrogate(kind, old, key, by)
+            if new not in used and new not in text:
+                break
+        else:
+            crowded.add(kind)
+        chosen[kind, old] = new
+        used.add(new)
+    if crowded:
+        gaps = zip([0, *(b for _, b, _ in spans)], [*(a for a, _, _ in spans), len(text)], strict=True)
+        rest = "\n".join(text[a:b] for a, b in gaps)
+        for kind in sorted(crowded):
+            others = {new for (k, _), new in chosen.items() if k != kind}
+            chosen |= _together(kind, [old for k, old in chosen if k == kind], others, rest, key)
+    parts, at = [], 0
+    for a, b, kind in spans:
+        parts += [text[at:a], chosen[kind, text[a:b]]]
         at = b
     return "".join([*parts, text[at:]]), spans
 

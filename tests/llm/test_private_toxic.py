@@ -150,3 +150,21 @@ def test_entities_end_where_they_end(text, inner):
     at = text.index(inner)
     assert [(a, b) for a, b, kind in pii.entities(text) if kind in ("card", "iban", "secret")] == [(at, at + len(inner))]
     assert inner not in pii.replace(text, K)[0]
+
+
+@pytest.mark.parametrize("where", list(pii.GIVEN))
+@pytest.mark.parametrize("part", [0.6, 0.8, 1.0])
+def test_names_stay_apart_when_a_list_runs_out(where, part):
+    family = {"latin": "Walker", "cyrillic": "Иванова", "greek": "Παππάς"}[where[1]]
+    for seed in range(10):
+        names = random.Random(seed).sample(pii.GIVEN[where], round(part * len(pii.GIVEN[where])))
+        new = [x.split()[0] for x in pii.replace("; ".join(f"{n} {family}" for n in names), K)[0].split("; ")]
+        assert len(set(new)) == len(names) and all(a != b for a, b in zip(names, new, strict=True)) and set(new) <= set(pii.GIVEN[where])
+
+
+def test_short_family_names_in_long_texts_stay_apart():
+    pairs = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    names = random.Random(4).sample(pairs, 60)
+    new, _ = pii.replace("; ".join(f"Mr. {n}" for n in names) + " " + " ".join(f"x{p}x" for p in pairs), K)
+    new = re.findall(r"Mr\. (\w+)", new)
+    assert len(set(new)) == len(names) and all(a != b for a, b in zip(names, new, strict=True))
