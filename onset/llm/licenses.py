@@ -76,3 +76,20 @@ def notice_lines(docs: DataFrame, texts: list[tuple[str, str, str]] = TEXTS, key
     lines = docs.select(F.col(key).alias("_key"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "_line"))
     found = digests(lines, "_line").join(F.broadcast(known_licenses(docs.sparkSession, short)), "digest")
     return found.select(F.col("_key").alias(key), "line_no", "license_id", "kind")
+
+
+def license_and_notice_scan(docs: DataFrame, texts: list[tuple[str, str, str]] = TEXTS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As :func:`license_scan`; a document that is no known text as a whole, but
+    has lines of :func:`notice_lines`, gets their names in order, joined by commas,
+    and the kind ``notice_line``. Rows stay where they are: the known lines are few."""
+    short = known_licenses(docs.sparkSession, [t for t in texts if "\n" not in t[2]]).collect()
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    if short:
+        names = F.create_map(*(F.lit(x) for r in short for x in (r["digest"], r["license_id"])))
+        forms = F.transform(F.split("_text", "\n", -1), canonical)
+        found = F.transform(forms, lambda form: F.try_element_at(names, F.sha2(same_spelling(form), 256)))
+        named = F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",")
+    rows = rows.withColumn("_notices", F.nullif(named, F.lit("")) if short else F.lit(None).cast("string"))
+    whole = license_scan(rows.select(F.struct("_key", "_notices").alias("_row"), "_text"), texts, "_row", "_text")
+    line = F.col("license_id").isNull() & F.col("_row._notices").isNotNull()
+    return whole.select(F.col("_row._key").alias(key), "digest", F.coalesce("license_id", "_row._notices").alias("license_id"), F.when(line, "notice_line").otherwise(F.col("kind")).alias("kind"))

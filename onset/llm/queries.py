@@ -30,9 +30,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from onset.llm.licenses import license_scan
+    from onset.llm.licenses import license_and_notice_scan
 
-    return license_scan(_table(spark, sf_dir, "documents"))
+    return license_and_notice_scan(_table(spark, sf_dir, "documents"))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

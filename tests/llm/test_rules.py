@@ -130,6 +130,26 @@ def test_licenses_are_found_by_canonical_text(spark):
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_notice_lines_are_part_of_the_scan(spark):
+    notices = [t for t in licenses.TEXTS if "\n" not in t[2]]
+    rows = [(i, f"Some words\n  {text.upper()} \nand more") for i, (_, _, text) in enumerate(notices)]
+    rows += [(50, f"{notices[0][2]}\nx\n{notices[1][2]}\n{notices[0][2]}"), (51, f"x {notices[0][2]}"), (52, None), (53, notices[0][2]), (None, f"a\n{notices[0][2]}"), (0, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ordered((r["doc_id"], r["license_id"], r["kind"]) for r in licenses.license_and_notice_scan(docs).collect())
+    want = [(i, name, "notice_line") for i, (name, _, _) in enumerate(notices)] + [(50, ",".join(sorted({notices[0][0], notices[1][0]})), "notice_line"), (51, None, None), (52, None, None)]
+    assert got == ordered([*want, (53, notices[0][0], "notice"), (None, notices[0][0], "notice_line"), (0, None, None)])
+    assert licenses.license_and_notice_scan(odd(spark)).count() == len(ODD)
+
+
+def test_the_license_query_returns_the_notices_of_the_table(spark):
+    sf = SF.replace("0.001", "0.1")
+    found = licenses.notice_lines(spark.read.parquet(f"{sf}/documents.parquet"))
+    want = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("ids")).collect()
+    got = op3_licenses(spark, sf).where("kind = 'notice_line'").select("doc_id", "license_id").collect()
+    assert len(got) > 200 and ordered(got) == ordered(want)
+    print(len(got))
+
+
 def brute_url(url: str | None) -> tuple[str, str, str | None, str | None]:
     host = path = ""
     if url and "://" in url:
