@@ -7,12 +7,17 @@ encoding, and only pieces that were not met lately go to the library's model.
 The class of a character outside ASCII (letter, number, space, other) is asked
 of the library's own splitter once, so both always agree.
 
+Strings of the file's added tokens become their ids wherever they stand, as the
+library does by default; what stands between two of them is a text of its own.
+
 Defined cases: null counts as empty and has no ids; a piece of any length is one
-call; texts may hold the strings of special tokens, which are ordinary text.
+call; a file whose added tokens strip spaces, keep to single words or are
+normalised is refused.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from itertools import pairwise
 
@@ -50,7 +55,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added.values()):
+            raise ValueError("added tokens that strip, keep to single words or are normalised")
+        self.added = {content: i for content, (i, _) in added.items()}
+        self.added_text = "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))
+        self.added_pattern = re.compile(f"({self.added_text})") if self.added else None
         self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # a piece comes here once in a while only
@@ -145,6 +155,21 @@ class PieceEncoder:
         """All ids of the texts, one after the other, and where each text's ids
         begin (one more entry: the end)."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not self.added or not any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.added):
+            return self._encode(texts)
+        parts, after, counts = [], [], []
+        for text in texts.to_pylist():
+            found = self.added_pattern.split(text)
+            parts += found[::2]
+            after += [self.added[x] for x in found[1::2]] + [-1]
+            counts.append(len(found[::2]))
+        ids, at = self._encode(pa.array(parts, pa.large_string()))
+        marks = np.array(after)
+        ids = np.insert(ids, at[1:][marks >= 0], marks[marks >= 0])
+        at = at + np.append(0, np.cumsum(marks >= 0))
+        return ids, at[np.append(0, np.cumsum(counts))]
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         if offsets[-1] == offsets[0]:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)

@@ -24,9 +24,7 @@ RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
 @lru_cache
 def plain():
-    tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(JSON)
 
 
 @lru_cache
@@ -49,6 +47,13 @@ def noise(seed: int, n: int) -> list[str]:
     return ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(n)]
 
 
+def test_the_librarys_added_tokens_are_kept():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext|", None, "x<|endoftext|>'s  <|endoftext|> ", "plain"]
+    ids, at = PieceEncoder(JSON).encode(pa.array(texts, pa.string()))
+    assert [list(ids[a:b]) for a, b in zip(at, at[1:], strict=False)] == [ids_of(t) for t in texts]
+    assert ids_of(texts[0]) == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("recent", [3, 600_000])
 def test_pieces_are_the_librarys(recent):
     encoder = PieceEncoder(JSON, recent)
