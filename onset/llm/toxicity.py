@@ -2,13 +2,15 @@
 
 Categories are predicted one after the other; a later model has the log-odds of
 all earlier ones among its features, in training those of models that did not see
-the row (out of fold). Models are logistic, over the words that a text holds,
-hashed; an L1 penalty leaves few words with a weight, so long texts don't add up
-noise. A category's threshold is the one with the best F-measure out of fold.
+the row (out of fold). Models are logistic, over the words that a text holds and the
+``HEADS`` letters that words of more begin with, hashed; an L1 penalty leaves few
+of them with a weight, so long texts don't add up noise. A category's threshold is
+the one with the best F-measure out of fold.
 
 Training takes at most ``SAMPLE`` labelled rows, half of them positive where there
 are enough: those whose keys have the smallest hashes, so the choice is the same
-every time. Sampled classes are weighed back to their shares of all labels.
+every time. Sampled classes are weighed back to their shares of all labels. Of
+documents with one key, the one whose word ids come first is taken.
 
 Defined cases: a null text has no words; a key with several label rows is positive
 if one of them is; a null label is left out; labels of a single class, or none,
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,19 +37,35 @@ from onset.llm.common import bound_batches
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
 SAMPLE = 6000
 BITS, FOLDS, PENALTY, STEPS, MIN_DOCS = 18, 3, 1e-3, 120, 4
+#: Lengths of the beginnings of words that are features.
+HEADS = (4, 5, 6)
+#: How many words with one beginning are a feature of their own, and an odd number
+#: that hashes it.
+OFTEN, _STEP = (2, 4, 8), 0x9E3779B1
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_ids(text: str | None, known: dict[str, int]) -> set[int]:
-    """Hashed words of a text. ``known`` remembers some."""
-    out = set()
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode()) >> (32 - BITS)
+
+
+def word_ids(text: str | None, known: dict[str, tuple[int, ...]]) -> set[int]:
+    """Hashed words of a text and how they begin, one word or ``OFTEN`` different
+    ones. ``known`` remembers some."""
+    words: list[int] = []
+    heads: list[int] = []
     for word in set(_WORD.findall(text.lower())) if text else ():
-        i = known.get(word)
-        if i is None:
-            i = zlib.crc32(word.encode()) >> (32 - BITS)
+        ids = known.get(word)
+        if ids is None:
+            ids = _hash(word), *(_hash(f"{word[:n]}-") for n in HEADS if len(word) > n)
             if len(known) < 200_000:
-                known[word] = i
-        out.add(i)
+                known[word] = ids
+        words.append(ids[0])
+        heads += ids[1:]
+    out = {*words, *heads}
+    if len(out) < len(words) + len(heads):
+        often = Counter(heads)
+        out.update((i * _STEP + n) % (1 << BITS) for i, k in often.items() if k > 1 for n in OFTEN if k >= n)
     return out
 
 
@@ -178,13 +197,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]]
     ys = [f"_y{i}" for i in range(len(names))]
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             found = [sorted(word_ids(t, known)) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"_key": batch.column("_key"), "ids": pa.array(found, pa.list_(pa.int32())), **{c: batch.column(c) for c in ys}})
 
     schema = f"_key {docs.schema[key].dataType.simpleString()}, ids array<int>, " + ", ".join(f"{c} int" for c in ys)
-    table = rows.select("_key", "_text", *ys).mapInArrow(ids, schema).toArrow().to_pylist()
+    # a row a key, made one before the shuffle, so the driver gets ``sample`` rows at most
+    one = rows.select("_key", "_text", *ys).mapInArrow(ids, schema).groupBy("_key").agg(F.min("ids").alias("ids"), *(F.max(c).alias(c) for c in ys))
+    table = one.toArrow().to_pylist()
     table.sort(key=lambda r: (zlib.crc32(str(r["_key"]).encode()), str(r["_key"]), r["ids"]))
     data = [(r["ids"], [np.nan if r[c] is None else float(r[c]) for c in ys]) for r in table]
     share = {y: totals.get(y, 0) / max(1, sum(1 for _, x in data if x[-1] == y)) for y in (0, 1)}
@@ -201,7 +222,7 @@ def classify(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "te
     weighty = set().union(*(m.words for m in chain.models)) if chain.models else set()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             p = [chain.predict(word_ids(t, known) & weighty) for t in batch.column("text").to_pylist()]
             out = {"key": batch.column("key")}
