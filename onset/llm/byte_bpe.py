@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from onset.llm.common import bound_batches
+from onset.llm.common import bound_batches, release
 from onset.llm.pieces import slices
 
 CHUNK = 1 << 16
@@ -81,6 +81,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 if decoded:
                     columns["decoded"] = pa.array([encoding.decode_bytes(ids) for ids in found], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
+        release()
 
     return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema).withColumnRenamed("key", key)
 

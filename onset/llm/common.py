@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,29 @@ def join_few(left: DataFrame, right: DataFrame, on: list[str], how: str, spread:
     return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+#: Keys that :func:`without` broadcasts at most: long integers, so 40 MB or so.
+MANY = 1_000_000
+
+
+def without(df: DataFrame, losers: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows whose ``key``, a long, is in the column of that name
+    of ``losers``. The losers are written and counted first: up to ``MANY`` are
+    broadcast and ``df`` stays where it is; more take a sort-merge join, which
+    spills and splits hot keys. Rows without a key stay."""
+    gone = written(losers.select(F.col(key).cast("long").alias("_gone")).where("_gone is not null").distinct(), "losers")
+    side = F.broadcast(gone) if gone.count() <= MANY else gone.hint("merge")
+    return df.join(side, df[key].cast("long") == gone["_gone"], "left_anti")
+
+
+def release() -> None:
+    """Give freed memory back to the system; Python workers stay for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def table_rows(df: DataFrame) -> bool:
     """Whether ``df`` has any row."""
     return bool(df.limit(1).count())

@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from onset.llm.common import ascii_lower, bound_batches, new_path, table_rows, written
+from onset.llm.common import ascii_lower, bound_batches, new_path, table_rows, without, written
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Arrival files that one micro-batch takes.
@@ -90,13 +90,18 @@ def contents(hits: DataFrame, text: str) -> DataFrame:
     def read(file: str, digests: list[str], numbers: list[int]) -> Iterator[pa.RecordBatch]:
         fs, path = FileSystem.from_uri(file)
         with fs.open_input_file(path) as source:
-            parquet, first, wanted = pq.ParquetFile(source), 0, np.array(numbers)
-            for batch in parquet.iter_batches(batch_size=1000, columns=[column]):
-                here = np.flatnonzero((wanted >= first) & (wanted < first + batch.num_rows))
-                if here.size:
-                    texts = batch.column(0).field(0).take(pa.array(wanted[here] - first))
-                    yield pa.RecordBatch.from_pydict({"digest": [digests[i] for i in here], "t": texts.cast(pa.string())})
-                first += batch.num_rows
+            parquet, first, wanted = pq.ParquetFile(source), 0, np.array(numbers)  # ascending
+            for group in range(parquet.num_row_groups):
+                end = first + parquet.metadata.row_group(group).num_rows
+                if np.searchsorted(wanted, first) == np.searchsorted(wanted, end):
+                    first = end
+                    continue
+                for batch in parquet.iter_batches(batch_size=1000, row_groups=[group], columns=[column]):
+                    a, b = np.searchsorted(wanted, (first, first + batch.num_rows))
+                    if a < b:
+                        texts = batch.column(0).field(0).take(pa.array(wanted[a:b] - first))
+                        yield pa.RecordBatch.from_pydict({"digest": digests[a:b], "t": texts.cast(pa.string())})
+                    first += batch.num_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("file", "digest", "row")), strict=True))
@@ -108,41 +113,58 @@ def contents(hits: DataFrame, text: str) -> DataFrame:
     return hits.select("digest", "file", "row").repartition(n, "file").sortWithinPartitions("file", "row").mapInArrow(run, "digest string, t string")
 
 
-def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """``doc`` (a struct of the columns of ``docs``), ``digest``, ``n``, ``keep``
-    (the key that stays) and ``kept``."""
+def _groups(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Column], arrivals: str | None, state: str | None) -> tuple[DataFrame, DataFrame, bool]:
+    """Add ``docs`` to the arrivals and run the stream over them: the stored rows
+    (``doc``, ``digest``, ``id``, ``at``, and the normalised text ``t``), the groups
+    of more than one row (``of``, ``t``, ``n``, ``keep``), and whether any digest
+    stands for different texts; ``t`` of a group is null where it doesn't."""
     spark = docs.sparkSession
-    arrivals, state = new_path(spark, "arrivals"), new_path(spark, "dedup-state")
-    docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), digest(normalised(docs[text])).alias("digest")).write.parquet(arrivals)
+    arrivals, state = arrivals or new_path(spark, "arrivals"), state or new_path(spark, "dedup-state")
+    # drawn once and stored, so it tells the rows of this call apart
+    numbered = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), digest(normalised(docs[text])).alias("digest"), F.monotonically_increasing_id().alias("id"))
+    numbered.write.mode("append").parquet(arrivals)
     schema = spark.read.parquet(arrivals).schema
     stored = spark.read.schema(schema).parquet(arrivals)
-    same = normalised(F.col(f"doc.`{text}`"))
+    rows = stored.select("doc", "digest", "id", _locator(key), normalised(F.col(f"doc.`{text}`")).alias("t"))
+    none = F.lit(None).cast("string")
     if not table_rows(stored):
-        return stored.select("doc", "digest", F.lit(1).cast("long").alias("n"), F.col(f"doc.`{key}`").alias("keep"), F.lit(True).alias("kept"))
-    rows = stored.select("doc", "digest", _locator(key))
+        return rows, rows.select(F.col("digest").alias("of"), none.alias("t"), F.lit(1).cast("long").alias("n"), F.col("at").alias("keep")), False
     groups = written(track(spark, arrivals, state, schema, key).where("n > 1"), "copies")
     # whole texts of one digest are equal if the smallest is the largest
     found = contents(rows.select("digest", "at.file", "at.row").join(groups.select("digest"), "digest"), text)
     unlike = written(found.select("digest", normalised(F.col("t")).alias("t")).groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("digest"), "unlike")
     if not table_rows(unlike):
-        joined = rows.join(groups.hint("merge"), "digest", "left")
-    else:
-        split = rows.select("digest", same.alias("t"), "at").join(unlike, "digest").groupBy("digest", "t").agg(F.count("*").alias("n"), F.max("at").alias("keep"))
-        whole = groups.join(unlike, "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("t"), "n", "keep")
-        groups = split.unionByName(whole).withColumnRenamed("digest", "of")
-        joined = rows.join(groups.hint("merge"), (F.col("digest") == F.col("of")) & (F.col("t").isNull() | (F.col("t") == same)), "left")
-    keep = F.coalesce("keep", "at")
-    return joined.select("doc", "digest", F.coalesce("n", F.lit(1).cast("long")).alias("n"), keep["key"].alias("keep"), (keep == F.col("at")).alias("kept"))
+        return rows, groups.select(F.col("digest").alias("of"), none.alias("t"), "n", "keep"), False
+    split = rows.select("digest", "t", "at").join(unlike, "digest").groupBy("digest", "t").agg(F.count("*").alias("n"), F.max("at").alias("keep"))
+    whole = groups.join(unlike, "digest", "left_anti").select("digest", none.alias("t"), "n", "keep")
+    return rows, split.unionByName(whole).withColumnRenamed("digest", "of"), True
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, unlike: bool, how: str) -> DataFrame:
+    groups = groups.withColumnRenamed("t", "_t").hint("merge")
+    same = F.col("digest") == F.col("of")
+    return rows.join(groups, same & (F.col("_t").isNull() | (F.col("_t") == F.col("t"))) if unlike else same, how)
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, arrivals: str | None = None, state: str | None = None) -> DataFrame:
     """``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``: one row a
-    document. Further columns of ``docs`` are not read."""
-    found = verdicts(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", digest)
-    full = F.col("digest") if digest is sha256 else sha256(normalised(F.col("doc.text")))
-    return found.select(F.col("doc.key").alias(key), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept", full.alias("text_sha256"))
+    document that has arrived. Further columns of ``docs`` are not read.
+
+    ``arrivals`` and ``state`` are folders of the shared store that last: a later
+    call with them adds its documents, and the stream goes on from its state. By
+    default both are new.
+    """
+    rows, groups, unlike = _groups(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", digest, arrivals, state)
+    full = F.col("digest") if digest is sha256 else sha256(F.col("t"))
+    joined = _with_groups(rows.select("doc.key", "digest", "at", full.alias("full"), *(["t"] if unlike else [])), groups, unlike, "left")
+    keep = F.coalesce("keep", "at")
+    return joined.select(F.col("key").alias(key), keep["key"].alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), (keep == F.col("at")).alias("kept"), F.col("full").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that are copies of one that stays."""
-    return verdicts(docs, key, text).where("kept").select("doc.*")
+    """``docs`` without the rows that are copies of one that stays. Only the digests
+    of the documents are shuffled; whole rows stay where they are as long as
+    :func:`onset.llm.common.without` can broadcast the numbers of those that go."""
+    rows, groups, unlike = _groups(docs, key, text, sha256, None, None)
+    losers = _with_groups(rows.select("digest", "id", "at", *(["t"] if unlike else [])), groups, unlike, "inner").where("at <> keep")
+    return without(rows.select("doc", F.col("id").alias("_row")), losers.select(F.col("id").alias("_row")), "_row").select("doc.*")

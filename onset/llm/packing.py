@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from onset.llm.common import bound_batches
+from onset.llm.common import bound_batches, release
 from onset.llm.pieces import encoder, slices
 
 WINDOW, POOL = 1024, 2048
@@ -159,5 +159,6 @@ def pack(docs: DataFrame, path: str, end_id: int | None = 0, key: str = "doc_id"
                 out = []
         if out:
             yield rows(out, kind)
+        release()
 
     return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema).withColumnRenamed("key", key)

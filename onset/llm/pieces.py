@@ -51,7 +51,7 @@ class PieceEncoder:
     """Ids of texts by a byte-level tokenizer file. ``recent`` bounds the pieces
     whose ids are remembered, in two generations."""
 
-    def __init__(self, path: str, recent: int = 600_000):
+    def __init__(self, path: str, recent: int = 300_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onset.llm.common import bound_batches, written
+from onset.llm.common import bound_batches, release, without, written
 from onset.llm.graph import components
 
 SHINGLE, ERRORS, SEED = 3, 3, 42
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "fp": pa.array([fingerprint(t or b"", k) for t in texts], pa.int64())})
+        release()
 
     schema = f"key {docs.schema[key].dataType.simpleString()}, fp long"
     return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema).withColumnRenamed("key", key)
@@ -222,6 +223,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest key of each class only."""
-    losers = near_duplicates(docs, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_key")).distinct()
-    return docs.join(losers.hint("merge"), docs[key] == losers["_key"], "left_anti")
+    """``docs`` with the rows of the smallest key of each class only; rows that
+    repeat that key all stay."""
+    return without(docs, near_duplicates(docs, key, text).where(F.col("component_id") != F.col(key)).select(key), key)

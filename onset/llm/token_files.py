@@ -28,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from onset.llm.common import bound_batches, new_path, written
+from onset.llm.common import bound_batches, new_path, release, written
 from onset.llm.pieces import encoder, slices
 
 LENGTH, ROWS = 1024, 256
+#: Bytes of text that a shard gets, about; the number of shards follows from it.
+SHARD_BYTES = 256 << 20
 MANIFEST = "shard int, ids_file string, index_file string, n_docs long, n_tokens long"
 
 
@@ -119,18 +121,20 @@ class ShardReader:
             yield self.index.get_batch(i)
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, key: str = "doc_id", text: str = "text", folder: str | None = None, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, key: str = "doc_id", text: str = "text", folder: str | None = None, length: int = LENGTH, rows: int = ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode all texts by the tokenizer at ``path`` and write them; the manifest.
 
     Rows are dealt by ranges of the key, and of the text's hash where keys are
-    equal; a shard is one range. Shards are numbered in ascending order.
+    equal; a shard is one range. Shards are numbered in ascending order. There are
+    as many as shuffle partitions, more where that gives over ``shard_bytes`` each.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     folder = folder or new_path(spark, "tokens")
     fs, root = _open(folder)
     fs.create_dir(root)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    volume = docs.select(F.sum(F.octet_length(docs[text]).cast("long"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, by = None, encoder(path)
@@ -145,6 +149,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, key: s
                 to.add(part.column("key"), ids, np.diff(at))
         if to:
             to.close()
+            release()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "ids_file": [to.names[0]], "index_file": [to.names[1]], "n_docs": [to.n_docs], "n_tokens": [to.n_tokens]})
 
     dealt = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").repartitionByRange(n, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")

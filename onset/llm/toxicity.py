@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onset.llm.common import bound_batches
+from onset.llm.common import bound_batches, release
 
 #: Categories in the order of the chain, and when a label row is positive.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
@@ -230,6 +230,7 @@ def classify(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "te
                 out[f"p{i}"] = pa.array([x[i] for x in p], pa.float64())
                 out[f"f{i}"] = pa.array([x[i] >= limit for x in p], pa.bool_())
             yield pa.RecordBatch.from_pydict(out)
+        release()
 
     done = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema)
     return done.select(F.col("key").alias(key), *(F.col(f"p{i}").alias(f"p_{n}") for i, n in enumerate(names)), *(F.col(f"f{i}").alias(n) for i, n in enumerate(names)))
