@@ -79,10 +79,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from onset.llm.pii import with_surrogates
+    from onset.llm.common import written
+    from onset.llm.pii import table_collisions, with_surrogates
 
-    rows = with_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.size("pii").cast("long").alias("n_entities"), F.array_join("pii.type", ",").alias("types"), "text")
+    rows = written(with_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text")), "surrogates")
+    collisions = table_collisions(rows).count()  # over the whole table; 0 where all stay apart
+    return rows.select("doc_id", F.size("pii").cast("long").alias("n_entities"), F.array_join("pii.type", ",").alias("types"), F.lit(collisions).alias("table_collisions"), "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

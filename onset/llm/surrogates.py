@@ -4,16 +4,22 @@ A string's format says which characters stand at which places; within a format
 the strings are the numbers below some N, and :func:`shifted` permutes those
 numbers under a key with no number left where it was. So one string always gets
 the same surrogate, different strings of a format get different ones, and the
-format stays.
+format stays. Long strings are permuted part by part.
+
+Defined cases: functions take strings, never null; a string without letters or
+digits, the empty one included, has no other of its format and stays; strings of
+any length are permuted whole; equal strings have equal surrogates.
 """
 
 from __future__ import annotations
 
 import hashlib
 import string
+import unicodedata
 from functools import lru_cache
 
-#: Alphabets by script and case. A letter is replaced within its alphabet.
+#: Alphabets by script and case. A letter is replaced within its alphabet; a letter
+#: or digit of none of them within the like characters of its block of 256.
 ALPHABETS = [
     "0123456789",
     "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
@@ -21,8 +27,10 @@ ALPHABETS = [
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ",
 ]
-_OF = {c: (n, i) for n, letters in enumerate(ALPHABETS) for i, c in enumerate(letters)}
+_OF = {c: (letters, i) for letters in ALPHABETS for i, c in enumerate(letters)}
 ROUNDS = 6
+#: Characters that are permuted as one number: half of it is less than a digest.
+PART = 64
 
 
 def _halves(n: int) -> tuple[int, int]:
@@ -32,7 +40,7 @@ def _halves(n: int) -> tuple[int, int]:
 
 
 def _round(key: bytes, tweak: str, n: int, i: int, half: int) -> int:
-    data = f"{tweak}\0{n}\0{i}\0{half}".encode()
+    data = f"{tweak}\0{n:x}\0{i}\0{half:x}".encode()
     size = min(64, max(16, n.bit_length() // 8 + 9))
     return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=size).digest(), "big")
 
@@ -59,30 +67,56 @@ def shifted(key: bytes, tweak: str, n: int, x: int, by: int = 1) -> int:
     return _permute(key, tweak, n, (_permute(key, tweak, n, x, False) + by) % n, True)
 
 
+@lru_cache(maxsize=1 << 14)
+def alphabet(char: str) -> tuple[str, int] | None:
+    """The characters that may stand for ``char`` and its place among them; null
+    for all but letters and digits, which stay."""
+    if char in _OF:
+        return _OF[char]
+    if not char.isalnum():
+        return None
+    block, kind = ord(char) & ~0xFF, unicodedata.category(char)
+    like = "".join(c for c in map(chr, range(block, block + 256)) if unicodedata.category(c) == kind and c not in _OF)
+    return like, like.index(char)
+
+
 def same_format(key: bytes, tweak: str, text: str, by: int = 1) -> str:
     """``text`` with its letters and digits replaced within their alphabets; all
-    else stays where it is."""
-    places = [_OF.get(c) for c in text]
+    else stays where it is. Long texts go part by part."""
+    if len(text) > PART:
+        return "".join(same_format(key, f"{tweak}{at}", text[at : at + PART], by) for at in range(0, len(text), PART))
+    places = [alphabet(c) for c in text]
     n, x = 1, 0
     for p in places:
         if p:
-            n, x = n * len(ALPHABETS[p[0]]), x * len(ALPHABETS[p[0]]) + p[1]
+            n, x = n * len(p[0]), x * len(p[0]) + p[1]
     if n == 1:
         return text
-    form = "".join(chr(65 + p[0]) if p else c for c, p in zip(text, places, strict=True))
+    form = "".join(p[0][0] if p else c for c, p in zip(text, places, strict=True))
     x = shifted(key, f"{tweak}\0{form}", n, x, by)
     out = []
     for c, p in zip(reversed(text), reversed(places), strict=True):
         if p:
-            x, i = divmod(x, len(ALPHABETS[p[0]]))
-            c = ALPHABETS[p[0]][i]
+            x, i = divmod(x, len(p[0]))
+            c = p[0][i]
         out.append(c)
     return "".join(reversed(out))
 
 
+def until(found, text: str, good) -> str:
+    """``found`` of ``text``, of that again, and so on until it is ``good``. Where
+    ``text`` is good itself, this permutes the good strings."""
+    new = found(text)
+    while not good(new):
+        new = found(new)
+    return new
+
+
 def hexadecimal(key: bytes, tweak: str, text: str, by: int = 1) -> str:
     """As :func:`same_format` for hexadecimal digits, upper case if the old ones
-    are; what stands between them stays."""
+    are; what stands between them stays. Long texts go part by part."""
+    if len(text) > PART:
+        return "".join(hexadecimal(key, f"{tweak}{at}", text[at : at + PART], by) for at in range(0, len(text), PART))
     digits = "".join(c for c in text if c in string.hexdigits)
     form = "".join("0" if c in string.hexdigits else c for c in text)
     new = f"{shifted(key, f'{tweak}{form}', 16 ** len(digits), int(digits, 16), by):0{len(digits)}x}"
@@ -130,6 +164,11 @@ def ipv4(key: bytes, text: str, by: int = 1) -> str:
     return ".".join(map(str, [firsts[x >> 24], *(x & 0xFFFFFF).to_bytes(3, "big")]))
 
 
+def number(key: bytes, tweak: str, text: str) -> int:
+    """A number that depends on the key and the text."""
+    return _round(key, tweak, 0, 0, int.from_bytes(text.encode(), "big"))
+
+
 @lru_cache(maxsize=1 << 16)
 def from_list(key: bytes, tweak: str, names: tuple[str, ...], name: str, by: int = 1) -> str:
     return names[shifted(key, tweak, len(names), names.index(name), by)]
