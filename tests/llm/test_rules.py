@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,9 +30,55 @@ def brute_counts(text: str | None) -> tuple:
 
 
 def test_quality_query(spark):
-    rows = op6_quality_rules(spark, SF).collect()
-    assert ordered(tuple(r)[:-1] for r in rows) == ordered((k, *brute_counts(t)) for k, t in documents())
-    assert not any(r["kept"] and r["base_failed"] for r in rows)
+    table = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text", "source"]).to_pylist()
+    counts = [brute_counts(r["text"]) for r in table]
+    bad = brute_bad_hosts([(r["source"], c[-1]) for r, c in zip(table, counts, strict=True)])
+    want = [(r["doc_id"], *c, not c[-1] and r["source"] not in bad) for r, c in zip(table, counts, strict=True)]
+    assert ordered(op6_quality_rules(spark, SF).collect()) == ordered(want)
+
+
+def brute_bad_hosts(flags: list[tuple[str | None, bool]], limit: float = 0.5, z: float = 1.645) -> set[str]:
+    """Hosts whose posterior failure rate is surely far above the mean."""
+    hosts: dict[str, list[bool]] = {}
+    for host, failed in flags:
+        if host is not None:
+            hosts.setdefault(host, []).append(failed)
+    if not hosts:
+        return set()
+    sizes, bad = [len(x) for x in hosts.values()], [sum(x) for x in hosts.values()]
+    n = sum(sizes)
+    mean = min(max(sum(bad) / n, 1e-6), 1 - 1e-6)
+    room = n - sum(x * x for x in sizes) / n
+    strength = 10.0
+    if len(hosts) > 1 and room > 0:
+        between = (sum(b * b / k for b, k in zip(bad, sizes, strict=True)) - n * mean * mean) / (mean * (1 - mean)) - (len(hosts) - 1)
+        rho = min(max(between / (room - (len(hosts) - 1)) if room > len(hosts) - 1 else 0.0, 1e-3), 0.5)
+        strength = (1 - rho) / rho
+    found = set()
+    for host, k, b in zip(hosts, sizes, bad, strict=True):
+        rate = (b + mean * strength) / (k + strength)
+        if rate - z * (rate * (1 - rate) / (k + strength + 1)) ** 0.5 > mean + limit * (1 - mean):
+            found.add(host)
+    return found
+
+
+def test_host_verdicts_against_brute_force(spark):
+    """Hosts of all rates and sizes, one with a third of all rows."""
+    rng = random.Random(9)
+    flags = [(h, rng.random() < rate) for h, rate, n in [("hot", 0.05, 2000), ("all", 1.0, 60), ("most", 0.85, 300), ("half", 0.5, 300), ("few", 1.0, 2), ("none", 0.0, 400), *((f"h{i}", rng.random() ** 3, rng.randrange(1, 200)) for i in range(30))] for _ in range(n)]
+    flags += [(None, True)] * 50
+    rates = quality_rules.host_rates(spark.createDataFrame(flags, "host string, base_failed boolean")).collect()
+    want = brute_bad_hosts(flags)
+    assert {r["host"] for r in rates if r["rejected"]} == want and {"all", "most"} <= want and not want & {"hot", "half", "few", "none"}
+
+
+@pytest.mark.parametrize("text", ["a b c d e f g h " * 3, "x " * 9, " ".join(f"w{i % 11}" for i in range(60)) + " end " + " ".join(f"w{i % 13}" for i in range(60)), "a b c d e f g h i j k"])
+def test_windows_of_one_hash_are_told_apart(spark, text):
+    """All windows have one hash, or one of two."""
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    for hash_ in (lambda w: F.lit(1).cast("long"), lambda w: F.xxhash64(w) % 2):
+        row = quality_rules.signals(docs, hash_=hash_).first()
+        assert tuple(row[c] for c in quality_rules.COUNTS) == brute_counts(text)[:-1]
 
 
 def test_quality_odd_rows(spark):
