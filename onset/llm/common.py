@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +38,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Tables of the scopes that are open, for :func:`scratch` to remove.
+_scopes: list[list[str]] = []
+#: Removes the shuffle files of a query as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are removed at its end, but for those to keep."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, and a
-    lost executor costs no more than the tasks that it was running."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lost executor costs no more than the tasks that it was running. Its shuffle
+    files go when it is written."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows that :func:`join_few` broadcasts at most; salts beyond.
@@ -69,7 +97,7 @@ def without(df: DataFrame, losers: DataFrame, key: str) -> DataFrame:
     of ``losers``. The losers are written and counted first: up to ``MANY`` are
     broadcast and ``df`` stays where it is; more take a sort-merge join, which
     spills and splits hot keys. Rows without a key stay."""
-    gone = written(losers.select(F.col(key).cast("long").alias("_gone")).where("_gone is not null").distinct(), "losers")
+    gone = written(losers.select(F.col(key).cast("long").alias("_gone")).where("_gone is not null").distinct(), "losers", keep=True)
     side = F.broadcast(gone) if gone.count() <= MANY else gone.hint("merge")
     return df.join(side, df[key].cast("long") == gone["_gone"], "left_anti")
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onset.llm.common import bound_batches, release, without, written
+from onset.llm.common import bound_batches, release, scratch, without, written
 from onset.llm.graph import components
 
 SHINGLE, ERRORS, SEED = 3, 3, 42
@@ -225,4 +225,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the rows of the smallest key of each class only; rows that
     repeat that key all stay."""
-    return without(docs, near_duplicates(docs, key, text).where(F.col("component_id") != F.col(key)).select(key), key)
+    with scratch(docs.sparkSession):
+        return without(docs, near_duplicates(docs, key, text).where(F.col("component_id") != F.col(key)).select(key), key)
