@@ -11,13 +11,29 @@ FALSE_WORDS = ["0", "false", "f", "no", "n", "non_pv", "non-pv", "absent"]
 MISSING_WORDS = ["", "nan", "none", "null", "nat"]
 
 
+#: Characters that are stripped from both ends.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def missing(text: Column) -> Column:
+    return F.lower(strip(text)).isin(MISSING_WORDS)
+
+
 def iso_date(text: Column) -> Column:
     """The first ten characters as a date; unpadded months and days count."""
-    return F.try_to_date(F.substring(F.btrim(text), 1, 10), "yyyy-M-d")
+    return F.try_to_date(F.substring(strip(text), 1, 10), "yyyy-M-d")
 
 
 def slash_date(text: Column) -> Column:
-    return F.try_to_date(F.btrim(text), "yyyy/MM/dd")
+    return F.try_to_date(strip(text), "yyyy/MM/dd")
+
+
+def slash_text(date: Column) -> Column:
+    return F.date_format(date, "yyyy/MM/dd")
 
 
 def date_text(date: Column) -> Column:
@@ -25,12 +41,12 @@ def date_text(date: Column) -> Column:
 
 
 def flag(text: Column) -> Column:
-    word = F.lower(F.btrim(text))
+    word = F.lower(strip(text))
     return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
 
 
 def number(text: Column) -> Column:
-    word = F.btrim(text)
+    word = F.when(~missing(text), strip(text))
     plain = word.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
     return F.when(plain, word.try_cast("double")).when(F.lower(word).rlike(r"^[+-]?inf(inity)?$"), F.when(word.startswith("-"), float("-inf")).otherwise(float("inf")))
 
@@ -40,6 +56,31 @@ def whole_number(text: Column) -> Column:
     return number(text).try_cast("int")
 
 
+def required(value: Column, name: str) -> Column:
+    """``value``; raises where it is null."""
+    return F.when(value.isNull(), F.raise_error(F.lit(f"missing {name}"))).otherwise(value)
+
+
+def first_date(texts: list[Column]) -> Column:
+    """The first of some texts that is a date."""
+    return F.coalesce(*(iso_date(t) for t in texts))
+
+
+def yearly(start: Column, end: Column, month: int, day: int) -> Column:
+    """One date a year, both years included; a day that a year lacks raises."""
+    return F.transform(F.sequence(start, end), lambda y: F.make_date(y, F.lit(month), F.lit(day)))
+
+
+def location_arg(lon: Column, lat: Column) -> Column:
+    """``lat,lon`` with ten decimals."""
+    return F.format_string("%.10f,%.10f", lat.cast("double"), lon.cast("double"))
+
+
+def box_args(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> tuple[Column, Column]:
+    """Lower left and upper right corner as texts, whichever way they were given."""
+    return location_arg(F.least(lon0, lon1), F.least(lat0, lat1)), location_arg(F.greatest(lon0, lon1), F.greatest(lat0, lat1))
+
+
 def presence(flag_text: Column, scores: list[Column], threshold: float = 0.5) -> tuple[Column, Column]:
     """Presence and score: the flag wins, else the first score that parses."""
     score = F.coalesce(*(number(s) for s in scores))
@@ -48,7 +89,7 @@ def presence(flag_text: Column, scores: list[Column], threshold: float = 0.5) ->
 
 def token(text: Column, charset: str = "A-Za-z0-9_.-", edge: str = "._-", default: str = "task", most: int = 120, lower: bool = False) -> Column:
     """A name safe in paths: runs of other characters become one underscore."""
-    plain = F.regexp_replace(F.btrim(text), f"[^{charset}]+", "_")
+    plain = F.regexp_replace(strip(text), f"[^{charset}]+", "_")
     bare = F.regexp_replace(plain, f"^[{edge}]+|[{edge}]+$", "")
     out = F.left(F.when(bare == "", default).otherwise(bare), F.lit(most))
     return F.lower(out) if lower else out
@@ -59,6 +100,11 @@ def join_path(root: Column, name: Column) -> Column:
     return F.when(windows, F.concat_ws("\\", F.regexp_replace(root, r"[\\/]+$", ""), name)).otherwise(F.concat_ws("/", F.regexp_replace(root, "/+$", ""), name))
 
 
+def task_dir(save_to: Column, name: Column) -> Column:
+    """Where a task's files are: its folder by that of the drive, and its name."""
+    return join_path(drive_to_mount(save_to), name)
+
+
 def drive_to_mount(path: Column) -> Column:
     at = r"^([A-Za-z]):[\\/](.*)$"
     return F.when(path.rlike(at), F.concat(F.lit("/mnt/"), F.lower(F.regexp_extract(path, at, 1)), F.lit("/"), F.translate(F.regexp_extract(path, at, 2), "\\", "/"))).otherwise(path)

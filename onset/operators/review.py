@@ -1,57 +1,257 @@
-"""Machine-generated responses: text into rows, leniently or strictly."""
+"""Machine-generated responses: text into rows, leniently or strictly.
+
+Documents are rows of a key, a text and what was asked for. Items of a response are
+checked as variants, where a wrong type stays visible: presence must be a JSON
+boolean or null, numbers are numbers or null, and a key that is missing is not a
+null. Strict parsers read a document within its row, all or nothing; lenient ones
+keep what is valid.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from onset.functions.parse import BLANKS, strip
+
+# The provider's lines, and the flags and sources of responses.
+HEADER_LINE = r"Level\s*=\s*(\d+),\s*Path\s*=\s*([0-3]+)"
+DATE_LINE = r"date\s*=\s*(\d{4}/\d{2}/\d{2}),\s*version\s*=\s*(\d+)"
+AVAILABLE_DATE = r"\[\d+\]\s*(\d{4}/\d{2}/\d{2})"
+TILE_DATE = r"Tile availability on\s+(\d{4}/\d{2}/\d{2})"
+FLAGS = ["usable", "ambiguous", "unusable"]
+FAILED_SOURCE = "gemini_failed"
+MATRIX_KEYS = ["date_index", "target_label", "pv_present", "confidence", "quality_flag", "evidence", "notes"]
+SEQUENCE_KEYS = ["confidence", "quality_flag", "review_notes", "observations"]
+SEQUENCE_ITEM_KEYS = ["date_index", "pv_present", "pv_score", "evidence", "notes"]
+_LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+
+
+def decoded(raw: Column) -> Column:
+    """Bytes of a provider as text: UTF-8 where it is that, else UTF-16 (little
+    end first); also where over a twentieth of the letters are NUL, which go."""
+    utf8 = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+    nuls = F.char_length(utf8) - F.char_length(F.replace(utf8, F.lit("\x00"), F.lit("")))
+    utf16 = F.decode(raw, "UTF-16LE")
+    text = F.when(utf8.isNull() | (nuls > F.greatest(F.lit(1), F.floor(F.char_length(utf8) / 20))), utf16).otherwise(utf8)
+    return F.replace(text, F.lit("\x00"), F.lit(""))
+
 
 def header_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """``level``, ``path``, ``capture_date``, ``version`` of each date line; the
-    last ``Level=…, Path=…`` line above it holds for it, lines before any drop."""
-    lines = df.select(key, F.posexplode(F.split(text, r"\R")).alias("pos", "line"))
-    head, dated = r"Level\s*=\s*(\d+),\s*Path\s*=\s*(\S+)", r"date\s*=\s*(\d{4}/\d{2}/\d{2}),\s*version\s*=\s*(\d+)"
-    is_head = F.col("line").rlike(head)
-    level, path = (F.when(is_head, F.regexp_extract("line", head, i)) for i in (1, 2))
+    last header line above it holds for it, lines before any drop."""
+    lines = df.select(key, F.posexplode(F.split(text, _LINES)).alias("pos", "line"))
+    is_head = F.col("line").rlike(HEADER_LINE)
+    level, path = (F.when(is_head, F.regexp_extract("line", HEADER_LINE, i)) for i in (1, 2))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.select(key, "pos", "line", F.last(level, ignorenulls=True).over(w).try_cast("int").alias("level"), F.last(path, ignorenulls=True).over(w).alias("path"))
-    found = rows.where(F.col("line").rlike(dated) & F.col("level").isNotNull())
-    return found.select(key, "level", "path", F.try_to_date(F.regexp_extract("line", dated, 1), "yyyy/MM/dd").alias("capture_date"), F.regexp_extract("line", dated, 2).try_cast("int").alias("version"))
+    rows = lines.select(key, "pos", "line", is_head.alias("_head"), F.last(level, ignorenulls=True).over(w).try_cast("int").alias("level"), F.last(path, ignorenulls=True).over(w).alias("path"))
+    found = rows.where(~F.col("_head") & F.col("line").rlike(DATE_LINE) & F.col("level").isNotNull())
+    return found.select(key, "level", "path", F.try_to_date(F.regexp_extract("line", DATE_LINE, 1), "yyyy/MM/dd").alias("capture_date"), F.regexp_extract("line", DATE_LINE, 2).try_cast("int").alias("version"))
+
+
+def available_dates(text: Column) -> Column:
+    """All dates of an availability text, each once, ascending, as ISO texts."""
+    every = F.concat(F.regexp_extract_all(text, F.lit(AVAILABLE_DATE), 1), F.regexp_extract_all(text, F.lit(TILE_DATE), 1))
+    return F.array_sort(F.array_distinct(F.transform(every, lambda d: F.replace(d, F.lit("/"), F.lit("-")))))
+
+
+def expand_dates(df: DataFrame, dates: str, date: str) -> DataFrame:
+    """One row for each of the dates joined by ``;``, else for the row's own."""
+    listed = F.filter(F.split(F.coalesce(F.col(dates), F.lit("")), ";"), lambda d: d != "")
+    return df.withColumn(date, F.explode(F.when(F.size(listed) > 0, listed).otherwise(F.array(F.substring(date, 1, 10)))))
+
+
+def unfenced(text: Column) -> Column:
+    """What stands between code fences that enclose the whole text, else the text."""
+    bare, fence = strip(text), r"(?s)^```(?:json)?\s*(.*?)\s*```$"
+    return F.when(bare.rlike(fence), F.regexp_extract(bare, fence, 1)).otherwise(bare)
+
 
+def strict_json(text: Column) -> Column:
+    """The document as a variant; null unless all of it is JSON."""
+    return F.try_parse_json(unfenced(text))
 
-_TYPE = "schema_of_variant(variant_get(v, '$.{}'))"
 
+def json_object(text: Column) -> Column:
+    """As :func:`strict_json`, else what stands from the first ``{`` to the last ``}``."""
+    bare = unfenced(text)
+    first, last = F.instr(bare, "{"), F.char_length(bare) - F.instr(F.reverse(bare), "}") + 1
+    return F.coalesce(F.try_parse_json(bare), F.when((first > 0) & (last > first) & bare.contains("}"), F.try_parse_json(F.substring(bare, first, last - first + 1))))
 
-def _fields(df: DataFrame) -> DataFrame:
-    """Typed fields of a variant ``v`` and whether they are valid: presence must
-    be a JSON boolean or null, confidence a number or null, both keys there."""
-    present, confidence, index = (F.expr(_TYPE.format(k)) for k in ("pv_present", "confidence", "chip_index"))
-    number = confidence.isin("BIGINT", "DOUBLE") | confidence.startswith("DECIMAL") | (confidence == "VOID")
-    valid = present.isin("BOOLEAN", "VOID") & number & (index == "BIGINT") & F.expr("variant_get(v, '$.quality_flag', 'string')").isin("usable", "ambiguous", "unusable")
-    return df.select(
-        *(c for c in df.columns if c != "v"), F.expr("try_variant_get(v, '$.chip_index', 'int')").alias("chip_index"), F.when(present == "BOOLEAN", F.expr("try_variant_get(v, '$.pv_present', 'boolean')")).alias("pv_present"),
-        F.expr("try_variant_get(v, '$.confidence', 'double')").alias("confidence"), F.expr("try_variant_get(v, '$.quality_flag', 'string')").alias("quality_flag"), F.coalesce(valid, F.lit(False)).alias("valid"),
+
+def kind(v: Column, name: str) -> Column:
+    """The type of a field; null where the key is missing, VOID where it is null."""
+    return F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+
+
+def keys(v: Column) -> Column:
+    return F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
+
+
+def _number(k: Column) -> Column:
+    return k.isin("BIGINT", "DOUBLE", "FLOAT", "VOID") | k.startswith("DECIMAL")
+
+
+def _whole(v: Column, name: str) -> Column:
+    """A whole number, a number whose fraction is cut off, or a text of digits."""
+    text = F.try_variant_get(v, f"$.{name}", "string")
+    return F.when(kind(v, name) == "STRING", F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.btrim(text).try_cast("int"))).when(_number(kind(v, name)), F.try_variant_get(v, f"$.{name}", "double").try_cast("int"))
+
+
+def item(v: Column, index: str, score: str = "confidence", flagged: bool = True, label: str | None = None) -> Column:
+    """The typed fields of an item, and whether they are ``valid``: its index, its
+    score's type (within 0 to 1 without a flag), presence, flag, and all there."""
+    present, number = kind(v, "pv_present"), kind(v, score)
+    value = F.try_variant_get(v, f"$.{score}", "double")
+    flag = F.try_variant_get(v, "$.quality_flag", "string")
+    good = present.isin("BOOLEAN", "VOID") & _number(number) & _whole(v, index).isNotNull()
+    good &= flag.isin(FLAGS) if flagged else kind(v, "evidence").isNotNull() & (value.isNull() | value.between(0, 1))
+    if label:
+        good &= kind(v, label).isNotNull()
+    text = lambda name: F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(""))
+    return F.struct(
+        _whole(v, index).alias(index), *([F.try_variant_get(v, f"$.{label}", "string").alias(label)] if label else []), F.when(present == "BOOLEAN", F.try_variant_get(v, "$.pv_present", "boolean")).alias("pv_present"), value.alias(score), flag.alias("quality_flag"),
+        text("evidence").alias("evidence"), text("notes").alias("notes"), F.coalesce(good, F.lit(False)).alias("valid"),
     )
 
 
+def json_lines(df: DataFrame, key: str, text: str, more: list[str]) -> DataFrame:
+    """``v``, the lines of a text that are JSON objects, with their place ``pos``."""
+    lines = df.select(key, *more, F.posexplode(F.split(text, _LINES)).alias("pos", "line")).where(F.btrim("line", F.lit(BLANKS)).startswith("{"))
+    return lines.select(key, *more, "pos", F.try_parse_json("line").alias("v")).where("v is not null")
+
+
 def lenient_lines(df: DataFrame, key: str, text: str, n: str) -> DataFrame:
     """Valid JSON lines with an index of 1 to ``n``; the last of an index wins."""
-    lines = df.select(key, F.col(n).alias("_n"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.btrim("line").startswith("{"))
-    rows = _fields(lines.select(key, "_n", "pos", F.try_parse_json("line").alias("v"))).where("valid and chip_index between 1 and _n")
-    return rows.groupBy(key, "chip_index").agg(F.max_by(F.struct("pv_present", "confidence", "quality_flag"), "pos").alias("r")).select(key, "chip_index", "r.*")
+    rows = json_lines(df.withColumn("_n", F.col(n)), key, text, ["_n"]).select(key, "_n", "pos", item(F.col("v"), "chip_index").alias("r"))
+    best = rows.where("r.valid and r.chip_index between 1 and _n").groupBy(key, F.col("r.chip_index").alias("chip_index")).agg(F.max_by("r", "pos").alias("r"))
+    return best.select(key, "chip_index", "r.pv_present", "r.confidence", "r.quality_flag")
+
+
+def missing_indices(df: DataFrame, found: DataFrame, key: str, n: str) -> DataFrame:
+    """``missing``, the indices of 1 to ``n`` that a document lacks, joined by commas."""
+    seen = found.groupBy(key).agg(F.collect_set("chip_index").alias("_seen"))
+    every = F.when(F.col(n) > 0, F.sequence(F.lit(1), F.col(n))).otherwise(F.array().cast("array<int>"))
+    left = F.array_except(every, F.coalesce("_seen", F.array().cast("array<int>")))
+    return df.select(key, n).join(seen, key, "left").select(key, F.array_join(left.cast("array<string>"), ",").alias("missing"))
+
+
+def _items(document: Column) -> Column:
+    return F.try_variant_get(document, "$.observations", "array<variant>")
 
 
 def strict_documents(df: DataFrame, key: str, text: str, n: str) -> DataFrame:
     """``ok`` of a document ``{"observations": [...]}``: each index of 1 to ``n``
-    once, all valid. Any fault makes the whole document invalid."""
-    fence = r"^\s*```\w*\s*|\s*```\s*$"
-    parsed = df.select(key, F.col(n).alias("_n"), F.try_parse_json(F.regexp_replace(text, fence, "")).alias("d"))
-    items = parsed.select(key, "_n", F.explode_outer(F.expr("try_variant_get(d, '$.observations', 'array<variant>')")).alias("v"))
-    return _fields(items).groupBy(key).agg(((F.count_if("valid") == F.max("_n")) & (F.count("*") == F.max("_n")) & (F.count_distinct("chip_index") == F.max("_n")) & (F.max("chip_index") == F.max("_n")) & (F.min("chip_index") == 1)).alias("ok")).select(key, F.coalesce("ok", F.lit(False)).alias("ok"))
+    once, all valid, no further keys. Any fault makes the whole document invalid."""
+    allowed = F.array(*map(F.lit, ["chip_index", *MATRIX_KEYS[2:]]))
+    parsed = df.select(key, F.col(n).alias("_n"), _items(strict_json(F.col(text))).alias("_i"))
+    checked = F.transform("_i", lambda v: item(v, "chip_index").withField("extra", F.size(F.array_except(keys(v), allowed)) > 0))
+    rows = parsed.select(key, "_n", checked.alias("_c"))
+    right = (F.size("_c") == F.col("_n")) & F.forall("_c", lambda c: c["valid"] & ~c["extra"] & c["chip_index"].between(1, F.col("_n"))) & (F.size(F.array_distinct(F.transform("_c", lambda c: c["chip_index"]))) == F.col("_n"))
+    return rows.select(key, F.coalesce(right, F.lit(False)).alias("ok"))
+
+
+def expected_cells(dates: Column, targets: Column) -> Column:
+    """The cells of a matrix, by date and then by target: index, capture date, target
+    identifier and label. ``dates``: ISO texts; ``targets``: structs of
+    ``target_id`` and ``target_label``."""
+    pairs = F.flatten(F.transform(dates, lambda d, i: F.transform(targets, lambda t: F.struct((i + 1).alias("date_index"), t["target_label"].alias("target_label"), d.alias("capture_date"), t["target_id"].alias("target_id")))))
+    return F.transform(pairs, lambda c, i: F.struct((i + 1).alias("cell_index"), c["date_index"].alias("date_index"), c["target_label"].alias("target_label"), c["capture_date"].alias("capture_date"), c["target_id"].alias("target_id")))
+
 
+def _in_grid(cells: Column, c: Column) -> Column:
+    return F.exists(cells, lambda x: (x["date_index"] == c["date_index"]) & (x["target_label"] == c["target_label"]))
 
-def with_missing(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+
+def matrix_strict(df: DataFrame, key: str, text: str, cells: str) -> DataFrame:
+    """``df`` with ``ok`` and ``found``: the items of a document that has each cell of
+    the grid once, all valid and without further keys; else none."""
+    allowed = F.array(*map(F.lit, MATRIX_KEYS))
+    checked = F.transform("_i", lambda v: item(v, "date_index", label="target_label").withField("extra", F.size(F.array_except(keys(v), allowed)) > 0))
+    rows = df.withColumn("_i", _items(strict_json(F.col(text)))).withColumn("_c", checked)
+    names = F.transform("_c", lambda c: F.struct(c["date_index"], c["target_label"]))
+    right = (F.size("_c") == F.size(cells)) & F.forall("_c", lambda c: c["valid"] & ~c["extra"] & _in_grid(F.col(cells), c)) & (F.size(F.array_distinct(names)) == F.size(cells))
+    return rows.withColumn("ok", F.coalesce(right, F.lit(False))).withColumn("found", F.when(F.col("ok"), F.col("_c"))).drop("_i", "_c")
+
+
+def matrix_lenient(df: DataFrame, key: str, text: str, cells: str) -> DataFrame:
+    """``key``, ``found``: valid lines for cells of the grid; the last of a cell wins."""
+    rows = json_lines(df, key, text, [cells]).select(key, cells, "pos", item(F.col("v"), "date_index", label="target_label").alias("r"))
+    good = rows.where(F.col("r.valid") & _in_grid(F.col(cells), F.col("r")))
+    best = good.groupBy(key, F.col("r.date_index").alias("_d"), F.col("r.target_label").alias("_t")).agg(F.max_by("r", "pos").alias("r"))
+    return best.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("found"))
+
+
+def matrix_rows(df: DataFrame, more: list[str], cells: str = "cells", found: str = "found", source: str = "gemini_matrix", error: Column | None = None) -> DataFrame:
+    """One row a cell of the grid, in its order, with what the caller knows of it; a
+    cell that was not found is an explicit failure."""
+    items = F.coalesce(F.col(found), F.array())
+    rows = df.select(*more, (error if error is not None else F.lit("missing cell")).alias("_e"), items.alias("_f"), F.explode(cells).alias("c"))
+    r = F.get(F.filter("_f", lambda x: (x["date_index"] == F.col("c.date_index")) & (x["target_label"] == F.col("c.target_label"))), F.lit(0))
+    rows = rows.select(*more, "c.*", r.alias("r"), "_e")
+    there = F.col("r").isNotNull()
+    return rows.select(
+        *more, "cell_index", "date_index", "target_label", "capture_date", "target_id", "r.pv_present", "r.confidence", F.when(there, F.col("r.quality_flag")).otherwise("unusable").alias("quality_flag"), F.when(there, F.col("r.evidence")).otherwise("").alias("evidence"),
+        F.when(there, F.col("r.notes")).otherwise(F.concat(F.lit(f"{FAILED_SOURCE}: "), F.left("_e", F.lit(300)))).alias("notes"), F.when(there, source).otherwise(FAILED_SOURCE).alias("decision_source"),
+    )
+
+
+def sequence_summary(items: Column) -> tuple[Column, Column, Column, Column]:
+    """Pattern (1, 0, ? by order), the first present item's date and index, and the
+    consistency of ordered items."""
+    mark = F.transform(items, lambda x: F.when(x["pv_present"], "1").when(~x["pv_present"], "0").otherwise("?"))
+    first = F.get(F.filter(items, lambda x: x["pv_present"]), F.lit(0))
+    bare = F.array_join(F.filter(mark, lambda m: m != "?"), "")
+    state = F.when(bare.contains("10"), "non_monotonic_requires_review").when(F.array_contains(mark, "?"), "monotonic_with_unknown").otherwise("monotonic")
+    return F.array_join(mark, "-"), first["capture_date"], first["date_index"], state
+
+
+def sequence_strict(df: DataFrame, key: str, text: str, dates: str, source: str = "gemini_sequence") -> DataFrame:
+    """``df`` with the sequence of one target: ``ok``, pattern, first present date,
+    consistency, confidence, flag and notes, and ``items`` by date. A document with
+    any fault is a failed sequence of unknowns."""
+    n = F.size(dates)
+    rows = df.withColumn("_d", strict_json(F.col(text))).withColumn("_i", _items(F.col("_d")))
+    extra = lambda v, names: F.size(F.array_except(keys(v), F.array(*map(F.lit, names)))) > 0
+    checked = F.transform("_i", lambda v: item(v, "date_index", "pv_score", flagged=False).withField("extra", extra(v, SEQUENCE_ITEM_KEYS)))
+    rows = rows.withColumn("_c", checked)
+    flag, confidence = F.try_variant_get("_d", "$.quality_flag", "string"), kind(F.col("_d"), "confidence")
+    right = (
+        ~extra(F.col("_d"), SEQUENCE_KEYS) & flag.isin(FLAGS) & (confidence.isNull() | _number(confidence)) & (F.size("_c") == n)
+        & F.forall("_c", lambda c: c["valid"] & ~c["extra"] & c["date_index"].between(1, n)) & (F.size(F.array_distinct(F.transform("_c", lambda c: c["date_index"]))) == n)
+    )
+    rows = rows.withColumn("ok", F.coalesce(right, F.lit(False)))
+    ordered = F.array_sort(F.transform("_c", lambda c: F.struct(c["date_index"].alias("date_index"), F.get(dates, c["date_index"] - 1).alias("capture_date"), c["pv_present"].alias("pv_present"), c["pv_score"].alias("pv_score"), c["evidence"].alias("evidence"), c["notes"].alias("notes"))))
+    none = F.lit(None)
+    blank = F.transform(dates, lambda d, i: F.struct((i + 1).alias("date_index"), d.alias("capture_date"), none.cast("boolean").alias("pv_present"), none.cast("double").alias("pv_score"), F.lit("").alias("evidence"), F.lit(f"{FAILED_SOURCE}: invalid document").alias("notes")))
+    rows = rows.withColumn("items", F.when(F.col("ok"), ordered).otherwise(blank))
+    pattern, first, index, state = sequence_summary(F.col("items"))
+    ok = F.col("ok")
+    return rows.withColumns({
+        "sequence_pattern": pattern, "first_present_date": first, "first_present_date_index": index, "consistency_flag": F.when(ok, state).otherwise("sequence_failed"), "confidence": F.when(ok, F.try_variant_get("_d", "$.confidence", "double")),
+        "quality_flag": F.when(ok, flag).otherwise("sequence_failed"), "review_notes": F.when(ok, F.coalesce(F.try_variant_get("_d", "$.review_notes", "string"), F.lit(""))).otherwise(f"{FAILED_SOURCE}: invalid document"), "decision_source": F.when(ok, source).otherwise(FAILED_SOURCE),
+    }).drop("_d", "_i", "_c")
+
+
+def best_response(attempts: DataFrame, key: list[str], attempt: str, found: str) -> DataFrame:
+    """Of attempts with their valid items, a key's with most of them, the earlier of
+    equal ones: a complete one always wins."""
+    n = F.coalesce(F.size(found), F.lit(0))
+    rest = [c for c in attempts.columns if c not in key]
+    return attempts.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(n, -F.col(attempt))).alias("_r")).select(*key, "_r.*")
+
+
+def with_missing(expected: DataFrame, found: DataFrame, keys: list[str], source: str = "review") -> DataFrame:
     """Each expected row; those that were not found are explicit failures."""
     there = found.withColumn("_there", F.lit(True))
     joined = expected.join(there, keys, "left")
-    return joined.withColumn("quality_flag", F.when(F.col("_there"), F.col("quality_flag")).otherwise("unusable")).withColumn("decision_source", F.when(F.col("_there"), "review").otherwise("review_failed")).drop("_there")
+    return joined.withColumn("quality_flag", F.when(F.col("_there"), F.col("quality_flag")).otherwise("unusable")).withColumn("decision_source", F.when(F.col("_there"), source).otherwise(FAILED_SOURCE)).drop("_there")
+
+
+def census_reference(picks: DataFrame, key: str, census: str, date: str = "capture_date", index: str = "chip_index") -> DataFrame:
+    """The key's latest pick of six months before the census or later, the first of
+    equal ones. The limit is a text whose day is not adjusted to its month."""
+    year_, month = F.substring(census, 1, 4).cast("int"), F.substring(census, 6, 2).cast("int")
+    limit = F.format_string("%04d-%02d-%s", F.when(month > 6, year_).otherwise(year_ - 1), F.when(month > 6, month - 6).otherwise(month + 6), F.substring(census, 9, 2))
+    late = picks.where(F.col(date).cast("string") >= limit)
+    return late.groupBy(key).agg(F.max_by(F.struct(index, date), F.struct(F.col(date), -F.col(index))).alias("_r")).select(key, "_r.*")

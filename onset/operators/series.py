@@ -18,10 +18,11 @@ def _window(key: str, order: list[str], present: str):
 def repair_dips(df: DataFrame, key: str, order: list[str], present: str = "pv_present", score: str = "pv_score", least: float = 0.5) -> DataFrame:
     """Absent rows with a sure present row anywhere before and after become
     present; ``flipped`` says which."""
-    w = _window(key, order, present)
-    sure = F.coalesce(F.col(present) & (F.col(score).isNull() | (F.col(score) >= least)), F.lit(False))
-    before, after = (F.max(sure).over(w.rowsBetween(*x)) for x in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
-    flipped = F.coalesce(~F.col(present) & before & after, F.lit(False))
+    # between the first and the last sure row of the key: no running frame, no sort
+    sure = F.col(present) & (F.col(score).isNull() | (F.col(score) >= least))
+    w, at = Window.partitionBy(key), F.struct(*order)
+    first, last = (f(F.when(sure, at)).over(w) for f in (F.min, F.max))
+    flipped = F.coalesce(~F.col(present) & (at > first) & (at < last), F.lit(False))
     return df.withColumn("flipped", flipped).withColumn(present, F.col(present) | F.col("flipped"))
 
 
@@ -97,25 +98,79 @@ def first_appearance(df: DataFrame, key: str, order: list[str], run: int = 1, da
     )
 
 
-def scan_intervals(df: DataFrame, key: str, census: Column, status: str = "status", date: str = "capture_date", present: str = "pv_present") -> DataFrame:
-    """Intervals of scanned keys by their final status; ``df`` has the usable rows
-    of a key with its status, or one row without presence."""
-    p = F.col(present)
-    a = df.groupBy(key).agg(F.first(status).alias("_s"), F.max(F.when(~p, F.col(date))).alias("_a"), F.min(F.when(p, F.col(date))).alias("_p"), F.min(F.when(p.isNotNull(), F.col(date))).alias("_first"), F.count_if(p).alias("n_present"), F.count_if(~p).alias("n_absent"))
+def repair_states(df: DataFrame, key: str, order: list[str], status: str = "status", date: str = "capture_date", present: str = "pv_present", score: str = "pv_score", quality: str = "quality_flag", notes: str = "notes", least: float = 0.5) -> DataFrame:
+    """Rows of scanned keys with their dips repaired and the status that follows.
+
+    Among usable rows of keys with three or more, absent ones between sure present
+    ones are dips. All absent rows of a dip's date become present, unusable ones
+    too, and are noted. A key that was ended as non-monotonic and is so no longer
+    gets the status of its rows; ``repaired_dates`` (joined by commas, else null)
+    says what changed. One exchange.
+    """
+    w, at, p = Window.partitionBy(key), F.struct(*order), F.col(present)
+    usable = (F.col(quality) == "usable") & p.isNotNull()
+    sure = usable & p & (F.col(score).isNull() | (F.col(score) >= least))
+    first, last = (f(F.when(sure, at)).over(w) for f in (F.min, F.max))
+    dip = usable & ~p & (at > first) & (at < last) & (F.count_if(usable).over(w) >= 3)
+    marked = df.withColumn("_dip", F.coalesce(dip, F.lit(False)))
+    flips = F.max("_dip").over(Window.partitionBy(key, date)) & ~p
+    marked = marked.withColumn("flipped", F.coalesce(flips, F.lit(False)))
+    done = marked.withColumns({
+        present: p | F.col("flipped"), notes: F.when(F.col("flipped"), F.concat_ws(" | ", F.nullif(F.col(notes), F.lit("")), F.lit("repaired_isolated_dip"))).otherwise(F.col(notes)),
+        "repaired_dates": F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(F.col("_dip"), F.col(date).cast("string"))).over(w)), ","), F.lit("")),
+    })
+    t, f = (F.when(usable & x, at) for x in (p, ~p))
+    ends = {"_t0": F.min(t).over(w), "_t1": F.max(t).over(w), "_f0": F.min(f).over(w), "_f1": F.max(f).over(w)}
+    monotonic = F.coalesce(F.col("_f1") < F.col("_t0"), F.lit(True))
+    new = F.when(F.col("_f0") < F.col("_t1"), "done_appears").when(F.col("_f0").isNull() & F.col("_t0").isNotNull(), ALREADY_PRESENT).otherwise(F.col(status))
+    again = F.col("repaired_dates").isNotNull() & (F.col(status) == "done_ambiguous_nonmonotonic") & monotonic
+    return done.withColumns(ends).withColumn(status, F.when(again, new).otherwise(F.col(status))).drop("_dip", *ends)
+
+
+# Fixed value: the status of keys that were present from the first date on.
+ALREADY_PRESENT = "done_already_present_before_geid_history"
+
+
+def scan_intervals(df: DataFrame, key: str, census: Column, status: str = "status", date: str = "capture_date", present: str = "pv_present", quality: str | None = None, state_notes: str | None = None) -> DataFrame:
+    """Intervals of scanned keys by their final status; ``df`` has the rows of a key
+    with its status, or one row without presence. Rows that are not usable by
+    ``quality`` only count; ``state_notes`` are the key's own, which come first."""
+    p = F.col(present) if quality is None else F.when(F.col(quality) == "usable", F.col(present))
+    a = df.groupBy(key).agg(
+        F.first(status).alias("_s"), F.max(F.when(~p, F.col(date))).alias("_a"), F.min(F.when(p, F.col(date))).alias("_p"), F.min(F.when(p.isNotNull(), F.col(date))).alias("_first"),
+        F.count(date).alias("n_observations"), F.count_if(p).alias("n_present"), F.count_if(~p).alias("n_absent"), F.count_if(F.col(date).isNotNull() & p.isNull()).alias("n_unusable"), (F.first(state_notes) if state_notes else F.lit("")).alias("_notes"),
+    )
     s, lo, hi = F.col("_s"), F.col("_a"), F.col("_p")
-    appears, during, already = (s == x for x in ("done_appears", "done_installed_during_census", "done_already_present_before_history"))
+    appears, during, already = (s == x for x in ("done_appears", "done_installed_during_census", ALREADY_PRESENT))
     dated = appears & (lo <= hi)
     within = during & (lo < census)
     missed = during & (lo >= census)
     start = F.when(dated | within, lo)
     end = F.when(dated, hi).when(within, census).when(already, F.col("_first"))
     note = (
-        F.when((appears & (lo.isNull() | hi.isNull())) | (during & lo.isNull()), "inconsistent").when(appears & (lo > hi), "inverted_interval")
-        .when(s == "scanning", "scan_in_progress").when(appears | during | already | s.startswith("done_ambiguous_"), "").otherwise(F.concat(F.lit("unknown_status="), F.coalesce(s, F.lit(""))))
+        F.when((appears & (lo.isNull() | hi.isNull())) | (during & lo.isNull()), "inconsistent").when(appears & (lo > hi), "inverted_interval").when(missed, "marker_missed_pv")
+        .when(s == "scanning", "scan_in_progress").when(appears | during | already | s.startswith("done_ambiguous_"), None).otherwise(F.concat(F.lit("unknown_status="), F.coalesce(s, F.lit(""))))
     )
     return a.select(
         key, F.when(missed, "done_ambiguous_marker_missed_pv").otherwise(s).alias("status"),
         F.when((appears & lo.isNotNull() & hi.isNotNull()) | during, lo).alias("latest_absent_date"), F.when(appears & lo.isNotNull() & hi.isNotNull(), hi).when(already, F.col("_first")).alias("earliest_present_date"),
         start.alias("interval_start"), end.alias("interval_end"), F.when(dated, midpoint(lo, hi)).when(within, census).alias("mid_estimate"),
-        F.when(dated, appears_confidence(F.datediff(hi, lo))).when(within, census_confidence(F.datediff(census, lo))).otherwise("low").alias("confidence"), note.alias("notes"), "n_present", "n_absent",
+        F.when(dated, appears_confidence(F.datediff(hi, lo))).when(within, census_confidence(F.datediff(census, lo))).otherwise("low").alias("confidence"), F.concat_ws(" | ", F.nullif("_notes", F.lit("")), note).alias("notes"),
+        "n_observations", "n_present", "n_absent", "n_unusable",
     )
+
+
+def state_intervals(states: DataFrame, census: Column, repair: bool = True, least: float = 0.5) -> DataFrame:
+    """Intervals of state documents: dips repaired, then the status read. Documents
+    without results stay, with their status."""
+    from onset.operators.scan import flat_results
+
+    rows = flat_results(states).withColumn("capture_date", F.col("capture_date").cast("date"))
+    about = states.select("anchor_id", "region_key", "grid_id", "status", F.coalesce("notes", F.lit("")).alias("_said"), F.size("rounds").alias("n_rounds"))
+    joined = about.join(rows, "anchor_id", "left")
+    if repair:
+        joined = repair_states(joined, "anchor_id", ["capture_date", "source_row"], score="confidence", least=least)
+        n = F.size(F.split("repaired_dates", ","))
+        joined = joined.withColumn("_said", F.when(F.col("repaired_dates").isNotNull(), F.concat_ws(" | ", F.nullif("_said", F.lit("")), F.concat(F.lit("repaired_isolated_dip x"), n, F.lit(": "), "repaired_dates"))).otherwise(F.col("_said")))
+    found = scan_intervals(joined, "anchor_id", census, quality="quality_flag", state_notes="_said")
+    return found.join(about.select("anchor_id", "region_key", "grid_id", "n_rounds"), "anchor_id")

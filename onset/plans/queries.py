@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from onset.functions import parse
 from onset.operators import catalog as C
 from onset.operators import series as S
+from onset.plans.registry import ORACLE_SQL, QUERIES, query
 from onset.sources.tables import ORDER, catalog, observations, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 KEY = "anchor_id"
 CENSUS = "2000-06-30"
 
@@ -24,16 +20,6 @@ _CAT = """c AS (SELECT l_orderkey AS anchor_id, CAST(l_shipdate AS DATE) AS capt
 _BY = "capture_date, line_no, version, supplier, price"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _legacy_sql(run: int) -> str:
     return f"""WITH {_OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY {_BY}) AS rn FROM o WHERE pv_present IS NOT NULL),
 k AS (SELECT *, count(*) FILTER (WHERE pv_present) OVER (PARTITION BY anchor_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND {run - 1} FOLLOWING) = {run} AS st FROM r),
@@ -105,26 +91,42 @@ def flag_nonmonotonic(spark, sf_dir):
     return done.select(KEY, "capture_date", "line_no", "version", "supplier", "notes")
 
 
-_STATUS = f"""{_DIP}, st AS (SELECT o_orderkey AS anchor_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'done_appears' WHEN '2-HIGH' THEN 'done_installed_during_census' WHEN '3-MEDIUM' THEN 'done_already_present_before_history'
-  WHEN '4-NOT SPECIFIED' THEN 'done_ambiguous_nonmonotonic' ELSE 'scanning' END AS status FROM orders),
-a AS (SELECT anchor_id, st.status AS s, max(capture_date) FILTER (WHERE NOT pv_present) AS lo, min(capture_date) FILTER (WHERE pv_present) AS hi, min(capture_date) FILTER (WHERE pv_present IS NOT NULL) AS f,
-  count(*) FILTER (WHERE pv_present) AS n_present, count(*) FILTER (WHERE NOT pv_present) AS n_absent FROM rep JOIN st USING (anchor_id) GROUP BY 1, 2),
+_STATUS = f"""{_OBS}, st AS (SELECT o_orderkey AS anchor_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'done_appears' WHEN '2-HIGH' THEN 'done_installed_during_census' WHEN '3-MEDIUM' THEN 'done_already_present_before_geid_history'
+  WHEN '4-NOT SPECIFIED' THEN 'done_ambiguous_nonmonotonic' ELSE 'scanning' END AS st0 FROM orders),
+q AS (SELECT anchor_id, st0, {_BY}, pv_present, pv_score, quality_flag, pv_present IS NOT NULL AND quality_flag = 'usable' AS us, row_number() OVER (PARTITION BY anchor_id ORDER BY pv_present IS NULL, {_BY}) AS rn FROM o JOIN st USING (anchor_id)),
+d AS (SELECT *, us AND NOT pv_present AND count(*) FILTER (WHERE us) OVER (PARTITION BY anchor_id) >= 3 AND count(*) FILTER (WHERE us AND pv_present AND pv_score >= 0.5) OVER (PARTITION BY anchor_id ORDER BY rn ROWS UNBOUNDED PRECEDING) > 0
+  AND count(*) FILTER (WHERE us AND pv_present AND pv_score >= 0.5) OVER (PARTITION BY anchor_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > 0 AS dip FROM q),
+e AS (SELECT *, bool_or(coalesce(dip, false)) OVER (PARTITION BY anchor_id, capture_date) AND NOT pv_present AS flipped FROM d),
+rep AS (SELECT anchor_id, st0, {_BY}, quality_flag, us, rn, dip, coalesce(flipped, false) AS flipped, pv_present OR coalesce(flipped, false) AS p FROM e),
+stp AS (SELECT *, lag(CASE WHEN us THEN p END) OVER (PARTITION BY anchor_id ORDER BY rn) AS bp FROM rep),
+k AS (SELECT anchor_id, max(st0) AS st0, bool_or(coalesce(dip, false)) AS rp, coalesce(bool_or(bp AND us AND NOT p), false) AS back, coalesce(bool_or(NOT bp AND us AND p), false) AS turn, count(*) FILTER (WHERE us AND NOT p) AS na, count(*) FILTER (WHERE us AND p) AS np FROM stp GROUP BY 1),
+r AS (SELECT anchor_id, CASE WHEN rp AND st0 = 'done_ambiguous_nonmonotonic' AND NOT back AND turn THEN 'done_appears' WHEN rp AND st0 = 'done_ambiguous_nonmonotonic' AND NOT back AND na = 0 AND np > 0 THEN 'done_already_present_before_geid_history' ELSE st0 END AS s FROM k),
+a AS (SELECT anchor_id, s, max(capture_date) FILTER (WHERE us AND NOT p) AS lo, min(capture_date) FILTER (WHERE us AND p) AS hi, min(capture_date) FILTER (WHERE us) AS f,
+  count(*) AS n_observations, count(*) FILTER (WHERE us AND p) AS n_present, count(*) FILTER (WHERE us AND NOT p) AS n_absent, count(*) FILTER (WHERE NOT us) AS n_unusable FROM rep JOIN r USING (anchor_id) GROUP BY 1, 2),
 g AS (SELECT *, DATE '{CENSUS}' AS cd, coalesce(s = 'done_appears' AND lo <= hi, false) AS dated, coalesce(s = 'done_installed_during_census' AND lo < DATE '{CENSUS}', false) AS within, coalesce(s = 'done_installed_during_census' AND lo >= DATE '{CENSUS}', false) AS missed FROM a)"""
 
 
+def _states(spark, sf_dir):
+    status = F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'done_appears' WHEN '2-HIGH' THEN 'done_installed_during_census' WHEN '3-MEDIUM' THEN 'done_already_present_before_geid_history' WHEN '4-NOT SPECIFIED' THEN 'done_ambiguous_nonmonotonic' ELSE 'scanning' END")
+    states = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(KEY), status.alias("status"))
+    return S.repair_states(observations(spark, sf_dir).withColumn("notes", F.lit("")).join(states, KEY), KEY, ORDER)
+
+
+@query(f"""WITH {_STATUS} SELECT anchor_id, capture_date, line_no, version, supplier, p AS pv_present, flipped, s AS status, CASE WHEN flipped THEN 'repaired_isolated_dip' ELSE '' END AS notes FROM rep JOIN r USING (anchor_id)""")
+def repaired_states(spark, sf_dir):
+    return _states(spark, sf_dir).select(KEY, "capture_date", "line_no", "version", "supplier", "pv_present", "flipped", "status", "notes")
+
+
 @query(f"""WITH {_STATUS} SELECT anchor_id, CASE WHEN missed THEN 'done_ambiguous_marker_missed_pv' ELSE s END AS status,
 CASE WHEN (s = 'done_appears' AND lo IS NOT NULL AND hi IS NOT NULL) OR s = 'done_installed_during_census' THEN lo END AS latest_absent_date,
-CASE WHEN s = 'done_appears' AND lo IS NOT NULL AND hi IS NOT NULL THEN hi WHEN s = 'done_already_present_before_history' THEN f END AS earliest_present_date,
-CASE WHEN dated OR within THEN lo END AS interval_start, CASE WHEN dated THEN hi WHEN within THEN cd WHEN s = 'done_already_present_before_history' THEN f END AS interval_end,
+CASE WHEN s = 'done_appears' AND lo IS NOT NULL AND hi IS NOT NULL THEN hi WHEN s = 'done_already_present_before_geid_history' THEN f END AS earliest_present_date,
+CASE WHEN dated OR within THEN lo END AS interval_start, CASE WHEN dated THEN hi WHEN within THEN cd WHEN s = 'done_already_present_before_geid_history' THEN f END AS interval_end,
 CASE WHEN dated THEN lo + CAST(floor((hi - lo) / 2) AS INTEGER) WHEN within THEN cd END AS mid_estimate,
 CASE WHEN dated THEN CASE WHEN hi - lo <= 183 THEN 'high' WHEN hi - lo <= 730 THEN 'medium' ELSE 'low' END WHEN within THEN CASE WHEN cd - lo <= 365 THEN 'high' ELSE 'medium' END ELSE 'low' END AS confidence,
-CASE WHEN (s = 'done_appears' AND (lo IS NULL OR hi IS NULL)) OR (s = 'done_installed_during_census' AND lo IS NULL) THEN 'inconsistent' WHEN s = 'done_appears' AND lo > hi THEN 'inverted_interval' WHEN s = 'scanning' THEN 'scan_in_progress' ELSE '' END AS notes,
-n_present, n_absent FROM g""")
+CASE WHEN (s = 'done_appears' AND (lo IS NULL OR hi IS NULL)) OR (s = 'done_installed_during_census' AND lo IS NULL) THEN 'inconsistent' WHEN s = 'done_appears' AND lo > hi THEN 'inverted_interval' WHEN missed THEN 'marker_missed_pv' WHEN s = 'scanning' THEN 'scan_in_progress' ELSE '' END AS notes,
+n_observations, n_present, n_absent, n_unusable FROM g""")
 def interval_phase0(spark, sf_dir):
-    status = F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'done_appears' WHEN '2-HIGH' THEN 'done_installed_during_census' WHEN '3-MEDIUM' THEN 'done_already_present_before_history' WHEN '4-NOT SPECIFIED' THEN 'done_ambiguous_nonmonotonic' ELSE 'scanning' END")
-    states = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(KEY), status.alias("status"))
-    rows = S.repair_dips(observations(spark, sf_dir), KEY, ORDER).join(states, KEY)
-    return S.scan_intervals(rows, KEY, F.lit(CENSUS).cast("date"))
+    return S.scan_intervals(_states(spark, sf_dir), KEY, F.lit(CENSUS).cast("date"), quality="quality_flag")
 
 
 @query(f"WITH w AS ({_legacy_sql(1)}) SELECT status, confidence, count(*) AS n FROM w GROUP BY 1, 2")
@@ -183,20 +185,31 @@ def task_expand(spark, sf_dir):
 @query("""WITH f AS (SELECT o_orderkey AS anchor_id, count(l_orderkey) AS n_files, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_dates, min(CAST(l_shipdate AS DATE)) AS first_date FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'A' GROUP BY 1)
 SELECT *, CASE WHEN n_files = 0 THEN 'missing_chip' ELSE 'manual_template' END AS decision_source, CASE WHEN n_files = 0 THEN 'missing_chip' WHEN n_dates = 0 THEN 'no_date_metadata' WHEN n_dates > 1 THEN 'mixed_capture_dates' ELSE 'needs_review' END AS quality_flag FROM f""")
 def task_quality(spark, sf_dir):
-    files = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select("l_orderkey", F.col("l_shipdate").cast("date").alias("d"))
-    found = files.groupBy("l_orderkey").agg(F.count("*").alias("n_files"), F.count_distinct("d").alias("n_dates"), F.min("d").alias("first_date"))
+    files = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select("l_orderkey", F.col("l_linenumber").cast("string").alias("path"), F.col("l_shipdate").cast("date").alias("d"))
+    found = C.file_summary(files, ["l_orderkey"], "path", "d").select("l_orderkey", "n_files", "n_dates", "first_date")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(KEY)).join(found, F.col(KEY) == F.col("l_orderkey"), "left").drop("l_orderkey").na.fill(0, ["n_files", "n_dates"])
-    n, d = F.col("n_files"), F.col("n_dates")
-    return rows.withColumns({"decision_source": F.when(n == 0, "missing_chip").otherwise("manual_template"), "quality_flag": F.when(n == 0, "missing_chip").when(d == 0, "no_date_metadata").when(d > 1, "mixed_capture_dates").otherwise("needs_review")})
+    source, flag = C.task_quality(F.col("n_files"), F.col("n_dates"))
+    return rows.withColumns({"decision_source": source, "quality_flag": flag})
 
 
-_CELLS = """k AS (SELECT o_custkey AS anchor_id, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1, 2, 3),
-cells AS (SELECT anchor_id, y AS requested_year, sum(n)::BIGINT AS n_tiles, arg_max(d, n * 1000000 - date_diff('day', DATE '1970-01-01', d)) AS dominant_date, CASE WHEN bool_or(month(d) <= 6) THEN 'available' ELSE 'drift' END AS status FROM k GROUP BY 1, 2)"""
+_CELLS = """f AS (SELECT o_custkey AS anchor_id, CAST(y AS INTEGER) AS requested_year, CASE WHEN o_custkey % 50 = 0 THEN NULL WHEN o_orderstatus = 'P' AND o_custkey % 7 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS path,
+  CASE WHEN o_custkey % 50 <> 0 AND NOT (o_orderstatus = 'P' AND o_custkey % 7 = 0) AND o_orderpriority <> '5-LOW' THEN CAST(o_orderdate AS DATE) END AS d FROM orders, (SELECT unnest(range(1995, 2002)) AS y) WHERE year(o_orderdate) BETWEEN y - 1 AND y),
+k AS (SELECT anchor_id, requested_year, d, count(*) FILTER (WHERE path <> '') AS n, count(path) AS there FROM f GROUP BY 1, 2, 3),
+cells AS (SELECT anchor_id, requested_year, sum(n)::BIGINT AS n_tiles, count(d) AS n_dates, arg_max(d, n * 1000000 - date_diff('day', DATE '1970-01-01', d)) FILTER (WHERE d IS NOT NULL) AS dominant_date,
+  CASE WHEN max(there) = 0 THEN 'missing_folder' WHEN sum(n) = 0 THEN 'empty' WHEN count(d) = 0 THEN 'no_date_metadata' WHEN bool_or(year(d) = requested_year) THEN 'available' ELSE 'drift' END AS status FROM k GROUP BY 1, 2)"""
+YEARS = list(range(1995, 2002))
 
 
 def _cells(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias(KEY), F.year("o_orderdate").alias("requested_year"), F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("n"))
-    return days.groupBy(KEY, "requested_year").agg(F.sum("n").alias("n_tiles"), F.max_by("d", F.struct("n", -F.datediff("d", F.lit("1970-01-01").cast("date")))).alias("dominant_date"), F.when(F.bool_or(F.month("d") <= 6), "available").otherwise("drift").alias("status"))
+    """Folders of customers and years: a few missing, empty or without dates, others
+    with files of the year or the one before."""
+    o = table(spark, sf_dir, "orders")
+    none, empty = F.col("o_custkey") % 50 == 0, (F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 7 == 0)
+    path = F.when(none, None).when(empty, "").otherwise(F.col("o_orderkey").cast("string"))
+    d = F.when(~none & ~empty & (F.col("o_orderpriority") != "5-LOW"), F.col("o_orderdate").cast("date"))
+    y = F.year("o_orderdate")
+    files = o.select(F.col("o_custkey").alias(KEY), F.explode(F.filter(F.array(y, y + 1), lambda x: x.between(YEARS[0], YEARS[-1]))).alias("requested_year"), path.alias("path"), d.alias("d"))
+    return C.cell_status(files, [KEY], "requested_year", "path", "d")
 
 
 @query(f"WITH {_CELLS} SELECT * FROM cells")
@@ -204,14 +217,14 @@ def cell_status(spark, sf_dir):
     return _cells(spark, sf_dir)
 
 
-YEARS = [1995, 1996, 1997, 1998]
-
-
 @query(f"WITH {_CELLS} SELECT anchor_id, " + ", ".join(f"coalesce(max(CASE status WHEN 'available' THEN 'Y' WHEN 'drift' THEN '~' ELSE '.' END) FILTER (WHERE requested_year = {y}), '?') AS y{y}" for y in YEARS) + " FROM cells GROUP BY 1")
 def year_pivot(spark, sf_dir):
-    mark = F.when(F.col("status") == "available", "Y").when(F.col("status") == "drift", "~").otherwise(".")
-    wide = _cells(spark, sf_dir).groupBy(KEY).pivot("requested_year", YEARS).agg(F.first(mark)).na.fill("?")
-    return wide.select(KEY, *(F.col(str(y)).alias(f"y{y}") for y in YEARS))
+    return C.year_pivot(_cells(spark, sf_dir), [KEY], "requested_year", C.cell_mark(F.col("status")), YEARS)
+
+
+@query(f"WITH {_CELLS} SELECT anchor_id, " + ", ".join(f"coalesce(max(CAST(dominant_date AS VARCHAR)) FILTER (WHERE requested_year = {y}), '') AS y{y}" for y in YEARS) + " FROM cells GROUP BY 1")
+def year_pivot_dates(spark, sf_dir):
+    return C.year_pivot(_cells(spark, sf_dir), [KEY], "requested_year", F.col("dominant_date").cast("string"), YEARS, missing="")
 
 
 @query("""SELECT l_orderkey AS anchor_id, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_dates, count(DISTINCT year(l_shipdate)) AS n_years, CAST(min(year(l_shipdate)) AS INTEGER) AS min_year, CAST(max(year(l_shipdate)) AS INTEGER) AS max_year, string_agg(DISTINCT CAST(CAST(l_shipdate AS DATE) AS VARCHAR), ';' ORDER BY CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS dates FROM lineitem GROUP BY 1""")
@@ -239,10 +252,10 @@ def topn_per_stratum(spark, sf_dir):
     return C.first_rows(table(spark, sf_dir, "part"), ["p_brand", "p_type"], ["p_size", "p_partkey"], 2).select("p_brand", "p_type", "p_partkey", "p_size", "rank")
 
 
-@query("""WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT count(*) AS n_groups, round(avg(n), 6) AS mean_size, median(n) AS median_size, max(n) AS max_size, count(*) FILTER (WHERE n = 1) AS n_single, round(sum(n) / count(*), 6) AS reduction FROM g""")
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT count(*) AS n_groups, round(avg(n), 6) AS mean_size, median(n) AS median_size, max(n) AS max_size, count(*) FILTER (WHERE n = 1) AS n_single, round(sum(n) / count(*), 6) AS reduction,
+(SELECT string_agg(n || ':' || k, ',' ORDER BY n) FROM (SELECT n, count(*) AS k FROM g GROUP BY 1)) AS histogram FROM g""")
 def group_summary(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return g.agg(F.count("*").alias("n_groups"), F.round(F.avg("n"), 6).alias("mean_size"), F.median("n").alias("median_size"), F.max("n").alias("max_size"), F.count_if(F.col("n") == 1).alias("n_single"), F.round(F.sum("n") / F.count("*"), 6).alias("reduction"))
+    return C.group_summary(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")), "n")
 
 
 @query(f"""WITH {_CAT}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY {_BY}, flag) - 1 AS i, count(*) OVER (PARTITION BY anchor_id) AS n FROM c),
@@ -258,14 +271,42 @@ def chunk_plan(spark, sf_dir):
     return C.chunks(catalog(spark, sf_dir), [KEY], [*ORDER, "flag"], 3).select(KEY, "capture_date", "version", "chunk", "local_index")
 
 
-@query("""WITH b AS (SELECT o_orderkey AS anchor_id, CAST(o_orderdate AS DATE) AS boundary FROM orders), c AS (SELECT DISTINCT l_orderkey AS anchor_id, CAST(l_shipdate AS DATE) AS capture_date FROM lineitem)
-SELECT anchor_id, capture_date FROM c JOIN b USING (anchor_id) WHERE capture_date < boundary + INTERVAL 60 DAY AND year(capture_date) >= year(boundary) - 5 AND (anchor_id, capture_date) NOT IN (SELECT l_orderkey, CAST(l_shipdate AS DATE) FROM lineitem WHERE l_returnflag = 'N')""")
+_LEFT = """d AS (SELECT DISTINCT l_partkey AS anchor_id, CAST(l_shipdate AS DATE) AS capture_date FROM lineitem), sc AS (SELECT DISTINCT l_partkey AS anchor_id, CAST(l_shipdate AS DATE) AS capture_date FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber <= 2),
+b AS (SELECT anchor_id, median(capture_date)::DATE AS boundary, min(capture_date) AS absent_date, max(capture_date) AS present_date FROM sc GROUP BY 1), lft AS (SELECT * FROM d ANTI JOIN sc USING (anchor_id, capture_date))"""
+
+
+def _left(spark, sf_dir):
+    """Catalog dates of parts, those scored, and what is left."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias(KEY), F.col("l_shipdate").cast("date").alias("capture_date"), "l_returnflag", "l_linenumber")
+    scored = rows.where("l_returnflag = 'N' and l_linenumber <= 2").select(KEY, "capture_date").distinct()
+    days = F.median(F.unix_date("capture_date"))
+    bounds = scored.groupBy(KEY).agg(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(days).cast("int")).alias("boundary"), F.min("capture_date").alias("absent_date"), F.max("capture_date").alias("present_date"))
+    return C.unscored(rows, scored, KEY, "capture_date"), bounds
+
+
+@query(f"WITH {_LEFT} SELECT anchor_id, capture_date FROM lft JOIN b USING (anchor_id) WHERE capture_date < boundary AND year(capture_date) >= year(boundary) - 2")
 def walk_back_candidates(spark, sf_dir):
-    bounds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(KEY), F.col("o_orderdate").cast("date").alias("boundary"))
-    rows = catalog(spark, sf_dir)
-    scored = rows.where("flag = 'N'").select(KEY, "capture_date")
-    new = rows.select(KEY, "capture_date").distinct().join(scored, [KEY, "capture_date"], "left_anti").join(bounds, KEY)
-    return new.where((F.col("capture_date") < F.date_add("boundary", 60)) & (F.year("capture_date") >= F.year("boundary") - 5)).select(KEY, "capture_date")
+    left, bounds = _left(spark, sf_dir)
+    return C.walk_back_dates(left, bounds, KEY, "capture_date", "boundary", 2)
+
+
+@query(f"WITH {_LEFT} SELECT anchor_id, capture_date FROM lft JOIN b USING (anchor_id) WHERE capture_date < boundary")
+def tail_candidates(spark, sf_dir):
+    left, bounds = _left(spark, sf_dir)
+    return C.tail_dates(left, bounds, KEY, "capture_date", "boundary")
+
+
+@query(f"WITH {_LEFT} SELECT anchor_id, capture_date FROM lft JOIN b USING (anchor_id) WHERE capture_date > absent_date AND capture_date < present_date")
+def bisection_candidates(spark, sf_dir):
+    left, bounds = _left(spark, sf_dir)
+    return C.gap_dates(left, bounds, KEY, "capture_date")
+
+
+@query("""WITH d AS (SELECT DISTINCT l_orderkey AS anchor_id, CAST(l_shipdate AS DATE) AS capture_date FROM lineitem), k AS (SELECT *, count(*) FILTER (WHERE year(capture_date) >= 1999) OVER (PARTITION BY anchor_id) AS n FROM d)
+SELECT anchor_id, capture_date, n = 0 AS degraded FROM k WHERE n = 0 OR year(capture_date) >= 1999""")
+def floor_year_picks(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias(KEY), F.col("l_shipdate").cast("date").alias("capture_date")).distinct()
+    return C.floor_rows(rows, KEY, "capture_date", 1999)
 
 
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, coalesce(nullif(trim(regexp_replace(event_type || ' ' || user_id || '!', '[^A-Za-z0-9_.-]+', '_', 'g'), '._-'), ''), 'task') AS token, printf('%.4f', value) AS value_text, sha256(props) AS digest FROM events""")
@@ -280,15 +321,30 @@ _ATTEMPT = "SELECT l_orderkey AS doc, l_linenumber AS attempt, count(*) FILTER (
 
 @query(f"WITH a AS ({_ATTEMPT}) SELECT doc, CAST(arg_max(attempt, n_valid * 1000 - attempt) AS INTEGER) AS attempt, max(n_valid) AS n_valid FROM a GROUP BY 1")
 def best_attempt_salvage(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("attempt")).agg(F.count_if(F.col("l_returnflag") != "R").alias("n_valid"))
-    return a.groupBy("doc").agg(F.max_by("attempt", F.struct("n_valid", -F.col("attempt"))).cast("int").alias("attempt"), F.max("n_valid").alias("n_valid"))
+    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("int").alias("attempt")).agg(F.count_if(F.col("l_returnflag") != "R").alias("n_valid"))
+    return C.best_attempts(a, ["doc"], "attempt", "n_valid")
 
 
-@query("""WITH j AS (SELECT l_orderkey AS anchor_id, count(*) AS n FROM lineitem GROUP BY 1), d AS (SELECT l_orderkey AS anchor_id FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1 HAVING count(*) >= 2) SELECT anchor_id, n FROM j ANTI JOIN d USING (anchor_id)""")
-def resume_pending(spark, sf_dir):
+_JOBS = """j AS (SELECT l_orderkey AS anchor_id, year(o_orderdate) AS w, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2), dn AS (SELECT l_orderkey AS anchor_id, year(l_shipdate) AS w, l_linenumber AS line_no, l_partkey AS version FROM lineitem WHERE l_returnflag = 'N'),
+c AS (SELECT anchor_id, w FROM dn GROUP BY 1, 2 HAVING count(*) >= 2)"""
+
+
+def _jobs(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", KEY)
-    done = rows.where("l_returnflag = 'N'").groupBy(KEY).agg(F.count("*").alias("n")).where("n >= 2").select(KEY)
-    return rows.groupBy(KEY).agg(F.count("*").alias("n")).join(done, KEY, "left_anti")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(KEY), F.year("o_orderdate").cast("long").alias("w"))
+    jobs = rows.groupBy(KEY).agg(F.count("*").alias("n")).join(orders, KEY).select(KEY, "w", "n")
+    done = rows.where("l_returnflag = 'N'").select(KEY, F.year("l_shipdate").cast("long").alias("w"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("version"))
+    return C.resume(jobs, done, [KEY], 2, ["w"])
+
+
+@query(f"WITH {_JOBS} SELECT anchor_id, w, n FROM j ANTI JOIN c USING (anchor_id, w)")
+def resume_pending(spark, sf_dir):
+    return _jobs(spark, sf_dir)[0]
+
+
+@query(f"WITH {_JOBS} SELECT anchor_id, w, line_no, version FROM dn SEMI JOIN (SELECT * FROM c SEMI JOIN j USING (anchor_id, w)) x USING (anchor_id, w)")
+def resume_carried(spark, sf_dir):
+    return _jobs(spark, sf_dir)[1]
 
 
 @query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.vec_id < b.vec_id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2""")
@@ -334,3 +390,6 @@ def strict_doc_validity(spark, sf_dir):
     lines = _responses(spark, sf_dir).withColumn("_l", F.filter(F.split("text", "\n"), lambda x: x.startswith("{"))).where(F.size("_l") > 0)
     docs = lines.select("doc", F.size("_l").alias("n"), F.concat(F.lit('```json\n{"observations": ['), F.array_join("_l", ","), F.lit("]}\n```")).alias("text"))
     return strict_documents(docs, "doc", "text", "n")
+
+
+from onset.plans import scan_queries  # noqa: E402, F401
