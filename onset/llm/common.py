@@ -103,8 +103,10 @@ def without(df: DataFrame, losers: DataFrame, key: str) -> DataFrame:
 
 
 def release() -> None:
-    """Give freed memory back to the system; Python workers stay for other tasks."""
+    """Give freed memory back to the system; Python workers stay for other tasks. What
+    Arrow takes from here on comes from the system as well."""
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -116,7 +118,7 @@ def table_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
-def bound_batches(spark: SparkSession, rows: int = 4000, bytes_: int = 8 << 20) -> None:
+def bound_batches(spark: SparkSession, rows: int = 4000, bytes_: int = 4 << 20) -> None:
     """Keep the batches that go to Python small, whatever the length of the texts:
     the session's limits are lowered to these, never raised."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)):

@@ -138,6 +138,7 @@ def pack(docs: DataFrame, path: str, end_id: int | None = 0, key: str = "doc_id"
         return pa.RecordBatch.from_pydict({"key": pa.array(keys, kind), "start": long(starts), "length": long([len(x) for x in ids]), "ids": pa.array([x.tobytes() for x in ids], pa.binary()), "doc_tokens": long(sizes), "sequence_id": long(sequences), "offset": long(offsets)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         by, packer, kind, out = encoder(path), Packer(TaskContext.get().partitionId() << 32, window, pool), pa.null(), []
         for batch in batches:
             kind = batch.schema.field("key").type

@@ -35,7 +35,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """``batch`` in runs of rows with at most ``most`` bytes of ``column``; a
     longer text is a run of its own."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
@@ -51,7 +51,7 @@ class PieceEncoder:
     """Ids of texts by a byte-level tokenizer file. ``recent`` bounds the pieces
     whose ids are remembered, in two generations."""
 
-    def __init__(self, path: str, recent: int = 300_000):
+    def __init__(self, path: str, recent: int = 200_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onset.llm import surrogates as S
-from onset.llm.common import bound_batches
+from onset.llm.common import bound_batches, release
 
 #: The setting of the key, in hexadecimal. Spark hides settings of that name.
 KEY_SETTING = "spark.onset.surrogates.secret"
@@ -68,8 +68,9 @@ _CAP = r"[^\W\d_a-zà-ÿ][^\W\d_]+"
 _given = "|".join(sorted(map(re.escape, [*_GENDER, *_UPPER]), key=len, reverse=True))
 _titles = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 PERSON = re.compile(rf"\b(?:(?P<title>{_titles}) (?:(?P<g1>{_given}) )?(?P<f1>{_CAP}(?:-{_CAP})?)|(?P<g2>{_given}) (?P<f2>{_CAP}(?:-{_CAP})?))(?!\w)")
-#: Any of these must be in a text that has a person; a plain search is cheaper than the pattern.
-_HINT = re.compile(rf"\b(?:{_titles}|{_given}) ")
+#: One of these words must be in a text that has a person; to look the words up is
+#: cheaper than the pattern.
+_HINTS = frozenset(re.findall(r"\w+", " ".join([*TITLES, *_GENDER, *_UPPER])))
 
 _DIGIT, _WORD = re.compile(r"\d"), re.compile(r"\w+")
 PATTERNS = [
@@ -146,7 +147,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 found += [(a, b, kind) for a, b in _checked(pattern, text, *CHECKED[kind])]
                 continue
             found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
-    if ":" in text or "-" in text:
+    if text.count(":") > 4 or text.count("-") > 4:
         found += [(m.start(), m.end(), "mac") for m in MAC.finditer(text)]
     if "::" in text or text.count(":") >= 7:
         found += [(m.start(), m.end(), "ipv6") for m in IPV6.finditer(text) if _ipv6(m[0])]
@@ -156,7 +157,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(m.lastindex), "secret") for m in SECRET.finditer(text) if any(c.isalnum() for c in m[m.lastindex])]
     if "PRIVATE KEY" in text:
         found += [(m.start() + m[0].index("\n") if "\n" in m[0] else m.start(), m.end() - len(m[0]) + m[0].rindex("-----END"), "secret") for m in PEM.finditer(text)]
-    if _HINT.search(text):
+    if not _HINTS.isdisjoint(_WORD.findall(text)):
         families = set()
         for m in PERSON.finditer(text):
             name = "g1" if m["g1"] else "g2" if m["g2"] else None
@@ -281,6 +282,7 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: bytes | None = Non
 
     @F.pandas_udf(schema)
     def run(texts: pd.Series) -> pd.DataFrame:
+        release()
         done = [(t, *_replace(t, key)) for t in texts]
         spans = [[{"start": a, "end": b, "type": k, "old": _mark(key, k, old[a:b]), "new": _mark(key, k, new)} for a, b, k, new in some] for old, _, some in done]
         return pd.DataFrame({"text": [t for _, t, _ in done], "found": spans})

@@ -137,6 +137,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, key: s
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         to, by = None, encoder(path)
         shard = TaskContext.get().partitionId()
         for batch in batches:
