@@ -67,16 +67,23 @@ def unfenced(text: Column) -> Column:
     return F.when(bare.rlike(fence), F.regexp_extract(bare, fence, 1)).otherwise(bare)
 
 
+def parse_json(text: Column) -> Column:
+    """A variant; null unless the whole text is one JSON value. In an array of its own
+    nothing can stand behind it."""
+    only = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(only, "$[1]", "variant").isNull(), F.try_variant_get(only, "$[0]", "variant"))
+
+
 def strict_json(text: Column) -> Column:
     """The document as a variant; null unless all of it is JSON."""
-    return F.try_parse_json(unfenced(text))
+    return parse_json(unfenced(text))
 
 
 def json_object(text: Column) -> Column:
     """As :func:`strict_json`, else what stands from the first ``{`` to the last ``}``."""
     bare = unfenced(text)
     first, last = F.instr(bare, "{"), F.char_length(bare) - F.instr(F.reverse(bare), "}") + 1
-    return F.coalesce(F.try_parse_json(bare), F.when((first > 0) & (last > first) & bare.contains("}"), F.try_parse_json(F.substring(bare, first, last - first + 1))))
+    return F.coalesce(parse_json(bare), F.when((first > 0) & (last > first) & bare.contains("}"), parse_json(F.substring(bare, first, last - first + 1))))
 
 
 def kind(v: Column, name: str) -> Column:
@@ -118,7 +125,7 @@ def item(v: Column, index: str, score: str = "confidence", flagged: bool = True,
 def json_lines(df: DataFrame, key: str, text: str, more: list[str]) -> DataFrame:
     """``v``, the lines of a text that are JSON objects, with their place ``pos``."""
     lines = df.select(key, *more, F.posexplode(F.split(text, _LINES)).alias("pos", "line")).where(F.btrim("line", F.lit(BLANKS)).startswith("{"))
-    return lines.select(key, *more, "pos", F.try_parse_json("line").alias("v")).where("v is not null")
+    return lines.select(key, *more, "pos", parse_json(F.col("line")).alias("v")).where("v is not null")
 
 
 def lenient_lines(df: DataFrame, key: str, text: str, n: str) -> DataFrame:

@@ -44,6 +44,7 @@ PICK = "struct<chip_index:int,capture_date:string,version:int,requested_zoom:int
 RESULT = "struct<chip_index:int,capture_date:string,version:int,pv_present:boolean,confidence:double,quality_flag:string,decision_source:string,evidence:string,notes:string,chip_path:string,actual_zoom:int>"
 ROUND = f"struct<round_id:int,round_type:string,window_start_date:string,window_end_date:string,picks:array<{PICK}>,results:array<{RESULT}>,completed:boolean,failed:boolean,notes:string>"
 STATE = f"anchor_id string, region_key string, grid_id string, status string, rounds array<{ROUND}>, next_action string, started_at string, updated_at string, spec_version string, notes string"
+STATE_COLUMNS = ["anchor_id", "region_key", "grid_id", "status", "rounds", "next_action", "started_at", "updated_at", "spec_version", "notes"]
 MAX_ROUNDS = 32
 FAILED = "gemini_failed"
 

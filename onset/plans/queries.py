@@ -355,16 +355,6 @@ def neighbor_pairs(spark, sf_dir):
     return near_pairs(points, "vec_id", "x", "y", 2.0)
 
 
-@query("""SELECT l_orderkey AS doc, l_linenumber AS level, 'p' || l_suppkey AS path, CAST(l_shipdate AS DATE) AS capture_date, CAST(l_partkey AS INTEGER) AS version FROM lineitem WHERE l_returnflag <> 'R'""")
-def parse_info_text(spark, sf_dir):
-    """Line items printed as a provider's text, then read back."""
-    from onset.operators.review import header_lines
-
-    line = F.format_string("Level=%d, Path=p%d\n%s", "l_linenumber", "l_suppkey", F.when(F.col("l_returnflag") != "R", F.format_string(" date=%s, version=%d", F.date_format("l_shipdate", "yyyy/MM/dd"), "l_partkey")).otherwise(" none"))
-    texts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.concat(F.lit(" date=2000/01/01, version=1\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
-    return header_lines(texts, "doc", "text")
-
-
 def _responses(spark, sf_dir):
     """A response a document; some lines have the wrong type, index or form."""
     present = F.when(F.col("l_returnflag") == "R", "null").when(F.col("l_tax") == 0, "1").when(F.col("l_linestatus") == "O", "true").otherwise("false")
@@ -392,4 +382,4 @@ def strict_doc_validity(spark, sf_dir):
     return strict_documents(docs, "doc", "text", "n")
 
 
-from onset.plans import scan_queries  # noqa: E402, F401
+from onset.plans import parse_queries, place_queries, presence_queries, scan_queries  # noqa: E402, F401

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from onset.functions.parse import token
-from onset.operators.scan import PICK, RESULT, ROUND_KINDS, SCANNING, STATE, TERMINAL
+from onset.operators.review import parse_json
+from onset.operators.scan import PICK, RESULT, ROUND_KINDS, SCANNING, STATE, STATE_COLUMNS, TERMINAL
 from onset.sources.config import ScanConfig
 
 NEVER = "\x00"
@@ -100,8 +101,7 @@ def _names(kind: str) -> list[str]:
 def save_states(states: DataFrame, path: str) -> None:
     """State documents as JSON lines, stamped; a commit replaces what was there."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", STATE)]
-    states.withColumn("updated_at", now).select(*names).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    states.withColumn("updated_at", now).select(*STATE_COLUMNS).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def parse_states(texts: DataFrame, spec: str = ScanConfig.spec_version) -> DataFrame:
@@ -109,7 +109,7 @@ def parse_states(texts: DataFrame, spec: str = ScanConfig.spec_version) -> DataF
     ``value``: they must be JSON, of this version, with known keys in their picks and
     results, known kinds of rounds and a known status."""
     loose = "anchor_id string, spec_version string, status string, rounds array<struct<round_type:string,picks:array<map<string,string>>,results:array<map<string,string>>>>"
-    doc = F.try_parse_json("value")
+    doc = parse_json(F.col("value"))
     rows = texts.withColumn("_l", F.from_json("value", loose)).withColumn("_s", F.from_json("value", STATE))
     known = lambda field, kind: F.exists("_l.rounds", lambda r: F.exists(F.coalesce(r[field], F.array()), lambda m: F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, _names(kind))))) > 0))
     status = F.coalesce("_s.status", F.lit(SCANNING))
