@@ -3,8 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -178,6 +181,41 @@ def test_licenses_are_found_by_canonical_text(spark):
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_wrapping_and_holders_make_no_difference(spark):
+    texts = {name: text for name, _, text in reversed(licenses.TEXTS)}
+    flat = lambda t: " ".join(t.split())
+    wrapped = lambda t, n: "\n".join(textwrap.wrap(flat(t), n))
+    mit, isc, bsd = (next(n for n in texts if n.startswith(x)) for x in ("MIT", "ISC", "BSD-3"))
+    cases = [
+        (isc, flat(texts[isc])), (isc, wrapped(texts[isc], 60)), ("MIT", wrapped(texts["MIT"], 50)), ("MIT", "Copyright (c) 2020 Bob. " + flat(texts["MIT"])), ("MIT", "MIT License\n\nCopyright 1999-2003 by A. Holder <a@b.org>\nCopyright © The Others\n\n" + texts["MIT"]),
+        (bsd, "Copyright (C) 2011, Some Inc.\nAll rights reserved.\n\n" + wrapped(texts[bsd], 70)), (bsd, "(c) 2001 X\n" + texts[bsd].upper()), ("Unlicense", wrapped(texts["Unlicense"], 40)),
+        (None, texts["MIT"] + "\n(c) You must keep this."), (None, texts["MIT"] + "\n(c) You may drop this."), (None, "Copyright (c) 2020 Bob"),
+    ]
+    cases = [(n, t) for n, t in cases if not t.startswith("MIT License")]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i]["license_id"] for i in range(len(cases))] == [n for n, _ in cases]
+    assert got[len(cases) - 3]["digest"] != got[len(cases) - 2]["digest"]  # clauses tell texts apart
+    assert mit == "MIT"
+
+
+@pytest.mark.parametrize("file", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0"])
+def test_long_licences_are_known(spark, file):
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no such text here")
+    text = path.read_text(encoding="utf-8")
+    docs = spark.createDataFrame([(1, text), (2, text.upper().replace("\n", "\r\n").replace(",", " ;")), (3, text.replace("the", "a", 1))], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(docs).collect()}
+    assert got[1] == got[2] and got[1].startswith(file.split("-")[0]) and got[3] is None
+
+
+def test_license_query_against_sql(spark):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{SF}/documents.parquet' UNION ALL BY NAME SELECT * FROM (VALUES (-1, NULL), (-2, 'Copyright (c) 2020 X' || chr(10) || {licenses._quoted(licenses.TEXTS[1][2])})) v(doc_id, text)")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "Copyright (c) 2020 X\n" + licenses.TEXTS[1][2])], "doc_id long, text string"))
+    assert ordered(db.sql(licenses.scan_sql()).fetchall()) == ordered(licenses.license_and_notice_scan(rows).collect())
+
+
 def test_notice_lines_are_part_of_the_scan(spark):
     notices = [t for t in licenses.TEXTS if "\n" not in t[2]]
     rows = [(i, f"Some words\n  {text.upper()} \nand more") for i, (_, _, text) in enumerate(notices)]
