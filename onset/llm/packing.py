@@ -160,6 +160,7 @@ def pack(docs: DataFrame, path: str, end_id: int | None = 0, key: str = "doc_id"
                 out = []
         if out:
             yield rows(out, kind)
+        encoder.cache_clear()  # the worker may idle for long
         release()
 
     return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -33,7 +33,7 @@ import secrets
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,14 +278,17 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: bytes | None = Non
     the entity and of its surrogate. ``key``: :func:`session_key` by default."""
     key = key or session_key(docs.sparkSession)
     bound_batches(docs.sparkSession)
-    schema = "text string, found array<struct<start: int, end: int, type: string, old: long, new: long>>"
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("old", pa.int64()), ("new", pa.int64())])
 
-    @F.pandas_udf(schema)
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("text string, found array<struct<start: int, end: int, type: string, old: long, new: long>>")
+    def run(texts: pa.Array) -> pa.Array:
         release()
-        done = [(t, *_replace(t, key)) for t in texts]
-        spans = [[{"start": a, "end": b, "type": k, "old": _mark(key, k, old[a:b]), "new": _mark(key, k, new)} for a, b, k, new in some] for old, _, some in done]
-        return pd.DataFrame({"text": [t for _, t, _ in done], "found": spans})
+        new, found = [], []
+        for old in texts.to_pylist():
+            text, spans = _replace(old, key)
+            new.append(text)
+            found.append([{"start": a, "end": b, "type": k, "old": _mark(key, k, old[a:b]), "new": _mark(key, k, x)} for a, b, k, x in spans])
+        return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(found, pa.list_(span))], ["text", "found"])
 
     made = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), run(docs[text]).alias("made"))
     return made.select(*(F.col("made.text" if c == text else f"doc.`{c}`").alias(c) for c in docs.columns), F.col("made.found").alias(found))

@@ -150,6 +150,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = 2, key: s
                 to.add(part.column("key"), ids, np.diff(at))
         if to:
             to.close()
+            encoder.cache_clear()  # the worker may idle for long
             release()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "ids_file": [to.names[0]], "index_file": [to.names[1]], "n_docs": [to.n_docs], "n_tokens": [to.n_tokens]})
 
