@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onset.sources.config import ScanConfig
-from onset.sources.shared import new_path, optional_table, stored
+from onset.sources.shared import new_path, optional_table, stored, written
 
 # Statuses, kinds of rounds, flags and sources of state documents.
 SCANNING = "scanning"
@@ -171,7 +171,9 @@ def plan(df: DataFrame, config: ScanConfig) -> DataFrame:
 
 def decide(states: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """``states`` (with ``vintages``) with ``action`` (``execute_round`` or
-    ``terminate``), ``next_status`` and ``next_round``, a round without results."""
+    ``terminate``), ``next_status`` and ``next_round``, a round without results. Write
+    it before it is filtered: a filter that the optimizer moves below these columns
+    takes the whole of their expressions along."""
     config, c = config or ScanConfig(), F.col
     df = plan(candidates(states, config), config)
     # spread evenly: the first round over the recent years, walk-backs over their window
@@ -221,6 +223,7 @@ def by_table(scorer: Callable[[DataFrame], DataFrame]) -> Executor:
     failure; a key with an error ends there."""
 
     def run(decided: DataFrame) -> DataFrame:
+        decided = written(decided, "decided")
         picks = decided.where("next_round is not null").select("anchor_id", F.col("next_round.round_id").alias("round_id"), F.explode("next_round.picks").alias("p")).select("anchor_id", "round_id", "p.*")
         found = scorer(picks)
         error = F.col("error") if "error" in found.columns else F.lit(None).cast("string")
@@ -240,9 +243,12 @@ def isolated(score: Callable[[pd.DataFrame], pd.DataFrame], schema: str = "ancho
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         try:
-            return score(rows).assign(error=None)
+            found = score(rows).astype(object)
+            return found.where(found.notna(), None).assign(error=pd.Series([None] * len(found), index=found.index, dtype=object))
         except Exception as fault:  # the key's own, whatever it is
-            return pd.DataFrame({"anchor_id": rows["anchor_id"].iloc[:1], "chip_index": [-1], "error": [f"{type(fault).__name__}: {fault}"]}).reindex(columns=[*(x.strip().split(" ")[0] for x in schema.split(",")), "error"])
+            names = [*(x.strip().split(" ")[0] for x in schema.split(",")), "error"]
+            row = dict.fromkeys(names) | {"anchor_id": rows["anchor_id"].iloc[0], "chip_index": int(rows["chip_index"].iloc[0]), "error": f"{type(fault).__name__}: {fault}"}
+            return pd.DataFrame([row], columns=names, dtype=object)
 
     return lambda picks: picks.groupBy("anchor_id").applyInPandas(run, f"{schema}, error string")
 

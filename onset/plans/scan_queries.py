@@ -114,7 +114,7 @@ def adaptive_scan_replay(spark, sf_dir):
 
 @query(f"WITH {_DRY}, {_scan_sql(_DRY_BASE, ScanConfig())} SELECT anchor_id, rounds[1].picks[i] AS capture_date, i::INTEGER AS chip_index FROM sc, (SELECT unnest(range(1, 6)) AS i) WHERE status = 'scanning' AND len(rounds) = 1 AND i <= len(rounds[1].picks)")
 def initial_round_plan(spark, sf_dir):
-    picks = scan.decide(written(_dry_states(spark, sf_dir), "states")).where("action = 'execute_round'").select("anchor_id", F.explode("next_round.picks").alias("p"))
+    picks = written(scan.decide(written(_dry_states(spark, sf_dir), "states")), "decided").where("action = 'execute_round'").select("anchor_id", F.explode("next_round.picks").alias("p"))
     return picks.select("anchor_id", "p.capture_date", "p.chip_index")
 
 
