@@ -120,3 +120,18 @@ def drop_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     flags = written(signals(docs, key, text, host, carry=True).select("row", "doc_id", "host", "base_failed"), "quality")
     bad = host_rates(flags.select("host", "base_failed"), host_limit).where("rejected").select("host")
     return join_few(flags.where(~F.col("base_failed")), bad, ["host"], "left_anti", "doc_id").select("row.*")
+
+
+def rules_sql(host_limit: float = HOST_LIMIT, z: float = Z) -> str:
+    """:func:`quality_rules` of the table ``documents`` in SQL: counts and verdicts."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, host, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT r, unnest(range(1, len(ws) - {WINDOW - 2})) AS i, ws FROM w WHERE len(ws) > {WINDOW}), k AS (SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS win FROM g),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM k) WHERE n > 1), v AS (SELECT r, count(DISTINCT word) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS word FROM c) GROUP BY 1),
+f AS (SELECT w.r, doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words FROM w LEFT JOIN v ON v.r = w.r),
+e AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f), h AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS bad FROM e WHERE host IS NOT NULL GROUP BY 1),
+m AS (SELECT sum(n) AS n, least(greatest(sum(bad) / sum(n), 1e-6), 1 - 1e-6) AS m, sum(n) - sum(n * n) / sum(n) AS room, sum(bad * bad / n) AS spread, count(*) AS g FROM h),
+q AS (SELECT *, least(greatest(CASE WHEN room > g - 1 THEN ((spread - n * m * m) / (m * (1 - m)) - (g - 1)) / (room - (g - 1)) ELSE 0 END, 1e-3), 0.5) AS rho FROM m),
+s AS (SELECT coalesce(m, 0.5) AS m, CASE WHEN n IS NULL THEN 2.0 WHEN g < 2 OR room <= 0 THEN 10.0 ELSE (1 - rho) / rho END AS s FROM q), x AS (SELECT host, n, s.m, s.s, (bad + s.m * s.s) / (n + s.s) AS rate FROM h, s),
+b AS (SELECT host FROM x WHERE rate - sqrt(rate * (1 - rate) / (n + s + 1)) * {z} > m + {host_limit} * (1 - m))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.host IS NULL AS kept FROM e LEFT JOIN b ON b.host = e.host"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onset.llm import licenses
+from onset.llm import licenses, quality_rules, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,4 +97,6 @@ ORACLE_SQL: dict[str, str] = {
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
     "op3_licenses": licenses.scan_sql(),
+    "op6_quality_rules": quality_rules.rules_sql(),
+    "op8_url_filters": url_filters.filters_sql(),
 }

@@ -5,6 +5,11 @@ level's rate is shrunk towards the level above it by a beta prior whose strength
 is fitted on the data; a host is blocked if the lower bound of its posterior bad
 rate passes ``limit``. DataFrame functions only.
 
+The tables at hand label no pages, only documents. As a stand-in the query takes the
+label of the document whose identifier is the page's; the two have nothing to do with
+each other, so on these tables all hosts are about alike and none is blocked. Real
+outcomes are the argument ``labels`` of :func:`url_filters`.
+
 Defined cases: a url that is null or has no ``://`` has an empty host and path,
 fits no rule and is judged as host ``''``; a page without a label adds no
 outcome; a label repeated for a page is bad if one of its rows is; repeated pages
@@ -92,3 +97,33 @@ def url_filters(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     blocked = judged.where("blocked").select("host", F.lit("block").alias("by_host"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return join_few(seen, blocked, ["host"], "left", "page_id").select(F.col("page_id").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("by_host"), F.lit("allow")).alias("verdict"))
+
+
+def _strength_sql(name: str, table: str) -> str:
+    """The worth of a level's prior, a table ``name`` of one row, from its ``n`` and ``bad``."""
+    return f"""{name}m AS (SELECT sum(n)::DOUBLE AS n, least(greatest(sum(bad) / sum(n), 1e-6), 1 - 1e-6) AS m, sum(n)::DOUBLE - sum(n::DOUBLE * n) / sum(n) AS room, sum(bad::DOUBLE * bad / n) AS spread, count(*) AS g FROM {table} WHERE n > 0),
+{name}r AS (SELECT *, least(greatest(CASE WHEN room > g - 1 THEN ((spread - n * m * m) / (m * (1 - m)) - (g - 1)) / (room - (g - 1)) ELSE 0 END, 1e-3), 0.5) AS rho FROM {name}m),
+{name} AS (SELECT CASE WHEN n IS NULL OR n = 0 THEN 2.0 WHEN g < 2 OR room <= 0 THEN 10.0 ELSE (1 - rho) / rho END AS s FROM {name}r)"""
+
+
+def filters_sql(rules: list[tuple[str, str]] = RULES, limit: float = LIMIT, z: float = Z) -> str:
+    """:func:`url_filters` of the tables ``pages`` and ``labels`` in SQL."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    whens = {"rule": "", "says": ""}
+    for says, rule in sorted(rules, key=lambda r: -len(r[1])):
+        at, _, start = rule.partition("/")
+        fits = f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '/{start}')"
+        whens["rule"] += f" WHEN {fits} THEN '{rule}'"
+        whens["says"] += f" WHEN {fits} THEN '{says}'"
+    long = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
+    last = lambda n: f"array_to_string(lb[greatest(1, len(lb) - {n - 1}):], '.')"
+    return f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
+l AS (SELECT doc_id, max(CASE WHEN quality IS NULL AND toxic IS NULL THEN NULL WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+hh AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS lb FROM p LEFT JOIN l ON doc_id = page_id GROUP BY host),
+h AS (SELECT *, CASE WHEN {last(2)} IN ({long}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({long}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM hh),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+{_strength_sql('ws', 's')}, {_strength_sql('wd', 'd')}, {_strength_sql('wh', 'h')}, o AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS m FROM h),
+sr AS (SELECT suffix, (bad + o.m * ws.s) / (n + ws.s) AS r FROM s, o, ws), dr AS (SELECT domain, d.suffix, (bad + sr.r * wd.s) / (n + wd.s) AS r FROM d JOIN sr USING (suffix), wd),
+hr AS (SELECT host, n, (bad + dr.r * wh.s) / (n + wh.s) AS m, wh.s FROM h JOIN dr USING (domain, suffix), wh), b AS (SELECT host FROM hr WHERE m - sqrt(m * (1 - m) / (n + (s + 1))) * {z} > {limit}), j AS (SELECT page_id, host, path, CASE{whens['rule']} END AS rule, CASE{whens['says']} END AS says FROM p)
+SELECT page_id, j.host, path, rule, coalesce(says, CASE WHEN b.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN b ON b.host = j.host"""

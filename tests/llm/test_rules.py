@@ -261,6 +261,58 @@ def test_url_query(spark):
         assert r["verdict"] == says if says else r["verdict"] in ("allow", "block")
 
 
+def brute_blocked(outcomes: list[tuple[str, int | None]], limit: float = 0.5, z: float = 1.645) -> set[str]:
+    """Hosts whose lower posterior bound passes the limit, priors from suffix to host."""
+    def prior(groups):
+        seen = [(n, b) for n, b in groups if n]
+        if not seen:
+            return 2.0
+        n, bad = sum(x for x, _ in seen), sum(x for _, x in seen)
+        mean = min(max(bad / n, 1e-6), 1 - 1e-6)
+        room = n - sum(x * x for x, _ in seen) / n
+        if len(seen) < 2 or room <= 0:
+            return 10.0
+        over = (sum(b * b / x for x, b in seen) - n * mean * mean) / (mean * (1 - mean)) - (len(seen) - 1)
+        rho = min(max(over / (room - (len(seen) - 1)) if room > len(seen) - 1 else 0.0, 1e-3), 0.5)
+        return (1 - rho) / rho
+
+    hosts: dict[str, list[int]] = {}
+    for host, bad in outcomes:
+        hosts.setdefault(host, []).extend([] if bad is None else [bad])
+    level = lambda k: {g: (sum(len(hosts[h]) for h in hosts if k(h) == g), sum(sum(hosts[h]) for h in hosts if k(h) == g)) for g in {k(h) for h in hosts}}
+    suffix, domain = (lambda h: h.split(".")[-1]), (lambda h: ".".join(h.split(".")[-2:]))
+    s, d = level(suffix), level(domain)
+    total, bad = sum(n for n, _ in s.values()), sum(b for _, b in s.values())
+    ws, wd, wh = prior(s.values()), prior(d.values()), prior([(len(x), sum(x)) for x in hosts.values()])
+    found = set()
+    for host, seen in hosts.items():
+        of_suffix = (s[suffix(host)][1] + (bad / total if total else 0.0) * ws) / (s[suffix(host)][0] + ws)
+        of_domain = (d[domain(host)][1] + of_suffix * wd) / (d[domain(host)][0] + wd)
+        mean = (sum(seen) + of_domain * wh) / (len(seen) + wh)
+        if mean - z * (mean * (1 - mean) / (len(seen) + wh + 1)) ** 0.5 > limit:
+            found.add(host)
+    return found
+
+
+def test_verdicts_of_hosts_against_brute_force_and_sql(spark):
+    """Pages without a rule, of hosts of all rates and sizes; one has a third of all."""
+    rng = random.Random(11)
+    hosts = [("hot.a.com", 0.05, 900), ("worst.a.com", 0.98, 120), ("spam.b.io", 0.9, 300), ("half.b.io", 0.5, 200), ("two.c.io", 1.0, 2), *((f"h{i}.d{i % 5}.com", rng.random(), rng.randrange(1, 80)) for i in range(30))]
+    rows = [(h, int(rng.random() < rate) if rng.random() < 0.8 else None) for h, rate, n in hosts for _ in range(n)]
+    pages = [(i, f"https://{h}/x{i}") for i, (h, _) in enumerate(rows)]
+    labels = [(i, 1 - b, 0) for i, (_, b) in enumerate(rows) if b is not None]
+    want = brute_blocked(rows)
+    assert {"worst.a.com", "spam.b.io"} <= want and not want & {"hot.a.com", "half.b.io"}
+    got = url_filters.url_filters(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert {r["host"] for r in got if r["verdict"] == "block"} == want
+    db = duckdb.connect()
+    db.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    db.sql("CREATE TABLE labels (doc_id BIGINT, quality INTEGER, toxic INTEGER)")
+    db.executemany("INSERT INTO labels VALUES (?, ?, ?)", labels)
+    assert ordered(db.sql(url_filters.filters_sql()).fetchall()) == ordered(got)
+
+
 def test_urls_odd(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?y#z", "http://net", "http://x.net/", "http://org/fr/é", "a://b.org?q=://c", "http://b.org#/fr/", "x://example.com/de/../", "http://fr.example.com:80/de/"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls + urls)], "page_id long, url string, host int")
