@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from onset.functions.parse import token
+from onset.functions.parse import strip, token
 from onset.operators.review import parse_json
 from onset.operators.scan import PICK, RESULT, ROUND_KINDS, SCANNING, STATE, STATE_COLUMNS, TERMINAL
 from onset.sources.config import ScanConfig
@@ -129,7 +129,7 @@ def load_states(spark: SparkSession, path: str, on_fault: str = "raise", termina
     """States and the documents that cannot be read (``file``, ``fault``). By default
     these raise, and so does a folder without documents: rows never drop in silence.
     ``whole_files``: a document a file, else a document a line."""
-    texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=whole_files).select("value", F.col("_metadata.file_path").alias("file")).where(F.btrim("value") != "")
+    texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=whole_files).select("value", F.col("_metadata.file_path").alias("file")).where(strip(F.col("value")) != "")
     read = parse_states(texts)
     faults = read.where("fault is not null").select("file", "fault")
     if on_fault == "raise":
