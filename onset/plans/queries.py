@@ -382,4 +382,4 @@ def strict_doc_validity(spark, sf_dir):
     return strict_documents(docs, "doc", "text", "n")
 
 
-from onset.plans import parse_queries, place_queries, presence_queries, scan_queries  # noqa: E402, F401
+from onset.plans import parse_queries, place_queries, presence_queries, scan_queries, task_queries  # noqa: E402, F401
