@@ -2,8 +2,9 @@
 
 An observation may arrive long after its capture date and change a key's first
 present date, so a summary of the past is not enough: each micro-batch adds its
-rows to the observations table and recomputes the keys that it touched, whole. The
-result table holds one folder a batch; the latest row of a key counts.
+rows to the observations table and recomputes the keys that it touched, whole. That
+table is in folders by a bucket of the key, and only those of the touched keys are
+read. The result table holds one folder a batch; the latest row of a key counts.
 """
 
 from __future__ import annotations
@@ -11,19 +12,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from onset.operators.series import first_appearance
 
 
-def start_intervals(stream: DataFrame, key: str, order: list[str], folder: str) -> StreamingQuery:
-    """Run over what has arrived. A batch that runs again overwrites its folders."""
-    schema = stream.schema
+#: Folders that the observations are dealt over.
+BUCKETS = 512
+
+
+def start_intervals(stream: DataFrame, key: str, order: list[str], folder: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Run over what has arrived. A batch that runs again overwrites its folders. The
+    number of buckets is that of the first run for good."""
+    schema = StructType([*stream.schema.fields, StructField("bucket", IntegerType())])
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        rows = spark.read.schema(schema).parquet(f"{folder}/rows")
-        touched = spark.read.schema(schema).parquet(f"{folder}/rows/batch={number}").select(key).distinct()
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/batch={number}")
+        new = spark.read.schema(schema).parquet(f"{folder}/rows/batch={number}")
+        some = [r[0] for r in new.select("bucket").distinct().collect()]  # no more than there are
+        rows = spark.read.schema(schema).parquet(f"{folder}/rows").where(F.col("bucket").isin(some)).drop("bucket", "batch")
+        touched = new.select(key).distinct()
         first_appearance(rows.join(touched, key, "left_semi"), key, order).write.mode("overwrite").parquet(f"{folder}/intervals/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(add).start()

@@ -58,8 +58,8 @@ CASES = [
     ("done_appears", [("2022-06-15", True), ("2024-01-15", False)], ("done_appears", None, "low", "inverted_interval")),
     ("done_appears", [("2022-06-15", True)], ("done_appears", None, "low", "inconsistent")),
     ("done_installed_during_census", [("2024-03-01", False)], ("done_installed_during_census", "2024-06-30", "high", "")),
-    ("done_installed_during_census", [("2024-06-30", False)], ("done_ambiguous_marker_missed_pv", None, "low", "")),
-    ("done_already_present_before_history", [("2014-04-15", True), ("2009-04-15", True)], ("done_already_present_before_history", None, "low", "")),
+    ("done_installed_during_census", [("2024-06-30", False)], ("done_ambiguous_marker_missed_pv", None, "low", "marker_missed_pv")),
+    ("done_already_present_before_geid_history", [("2014-04-15", True), ("2009-04-15", True)], ("done_already_present_before_geid_history", None, "low", "")),
     ("scanning", [("2014-04-15", True)], ("scanning", None, "low", "scan_in_progress")),
     ("odd", [("2014-04-15", True)], ("odd", None, "low", "unknown_status=odd")),
 ]
