@@ -4,6 +4,9 @@ Each round hangs the neighbours of a node to the smallest of them, first those
 above the node, then those below it. Links only ever get shorter, a round is two
 joins on the node, and a handful of rounds suffices. Rounds are written to the
 shared folder, which ends their lineage.
+
+Defined cases: null ends and loops are no links; repeated links count once; an empty
+table of links gives no roots; other columns are not read.
 """
 
 from __future__ import annotations
