@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onset.llm.common import bound_batches, release, scratch, without, written
+from onset.llm.common import bound_batches, join_few, release, scratch, without, written
 from onset.llm.graph import components
 
 SHINGLE, ERRORS, SEED = 3, 3, 42
@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     own = prints.join(tied, "key", "left_semi").join(reps, "fp").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     roots = components(fingerprint_links(reps, bucket).unionByName(own))
     classes = reps.join(roots, reps.rep == roots.node, "left").where("n > 1 or root is not null").select("fp", F.coalesce("root", "rep").alias("class"))
-    return prints.join(classes, "fp", "left").select(F.col("key").alias(key), "fp", F.coalesce("class", "key").alias("component_id"))
+    # a fingerprint may be that of a third of all rows: few classes are broadcast, many salted
+    return join_few(prints, classes, ["fp"], "left", "key").select(F.col("key").alias(key), "fp", F.coalesce("class", "key").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
