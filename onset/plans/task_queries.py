@@ -23,9 +23,9 @@ _BOX_SQL = "printf('%.10f', least(k / 50.0, k / 60.0)) AS left_longitude, printf
 
 
 @query(f"""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, d FROM customer, (SELECT unnest(['2020-06-15', '2021-02-03']) AS d))
-SELECT k::VARCHAR AS grid_id, k || '_' || replace(d, '-', '') AS task_name, 'D:\\geid\\r_' || n || '\\g\\' || k || '\\' || d[1:4] AS save_to, '' AS map_type, d AS date, 19::INTEGER AS zoom_from, 20::INTEGER AS zoom_to, {_BOX_SQL} FROM c""")
+SELECT k::VARCHAR AS grid_id, k || '_' || replace(d, '-', '') AS task_name, 'D:\\chips\\r_' || n || '\\g\\' || k || '\\' || d[1:4] AS save_to, '' AS map_type, d AS date, 19::INTEGER AS zoom_from, 20::INTEGER AS zoom_to, {_BOX_SQL} FROM c""")
 def anchor_tasks(spark, sf_dir):
-    return tasks.task_rows(_boxes(spark, sf_dir), ["2020-06-15", "2021-02-03"], "D:\\geid\\", 19, 20)
+    return tasks.task_rows(_boxes(spark, sf_dir), ["2020-06-15", "2021-02-03"], "D:\\chips\\", 19, 20)
 
 
 @query(f"""WITH s AS (SELECT c_custkey AS k, c_mktsegment AS st, 'reg' || c_nationkey AS region, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey % 3, c_custkey::VARCHAR) AS rn FROM customer), a AS (SELECT k, region, 'REG_' || st[1:3] || '_' || k AS id, y FROM s, (SELECT unnest(range(2015, 2018)) AS y) WHERE rn <= 2)

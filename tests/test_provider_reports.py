@@ -46,8 +46,8 @@ def test_availability_and_the_chooser(spark):
 
 
 def test_tasks(spark):
-    rows = tasks.task_rows(anchors(spark, ("a b",)), ["2020-06-15", "2021-06-15"], "D:\\geid", 19, 20).orderBy("date").collect()
-    assert [(r["task_name"], r["save_to"], r["left_longitude"], r["top_latitude"]) for r in rows] == [(f"a_b_{y}0615", f"D:\\geid\\r\\g\\a_b\\{y}", "28.4000000000", "-26.2000000000") for y in (2020, 2021)]
+    rows = tasks.task_rows(anchors(spark, ("a b",)), ["2020-06-15", "2021-06-15"], "D:\\chips", 19, 20).orderBy("date").collect()
+    assert [(r["task_name"], r["save_to"], r["left_longitude"], r["top_latitude"]) for r in rows] == [(f"a_b_{y}0615", f"D:\\chips\\r\\g\\a_b\\{y}", "28.4000000000", "-26.2000000000") for y in (2020, 2021)]
     with pytest.raises(PySparkException, match="missing chip_lon_min"):
         tasks.task_rows(anchors(spark).withColumn("chip_lon_min", F.lit(None).cast("double")), ["2020-06-15"], "/x", 1, 2).collect()
     with pytest.raises(ValueError):
