@@ -157,7 +157,7 @@ def cell_parsers(spark, sf_dir):
 
 
 @query("""SELECT c_custkey AS key, printf('%.10f,%.10f', -c_custkey / 1000.0, c_acctbal / 100.0) AS location, printf('%.10f,%.10f', least(-c_custkey / 1000.0, c_custkey / 500.0), least(c_acctbal / 100.0, 28.0)) AS lower, printf('%.10f,%.10f', greatest(-c_custkey / 1000.0, c_custkey / 500.0), greatest(c_acctbal / 100.0, 28.0)) AS upper,
-'tag_' || c_custkey AS inventory_token, 'a_b-' || c_custkey AS task_token, CASE WHEN c_custkey % 2 = 0 THEN '/mnt/d/chips/a_b' ELSE '/data/chips/a_b' END AS dir, substr(sha1('{"a":' || c_custkey || ',"b":"x"}'), 1, 10) AS content FROM customer""")
+'tag_' || c_custkey AS inventory_token, 'a_b-' || c_custkey AS task_token, CASE WHEN c_custkey % 2 = 0 THEN 'unknown' ELSE '.a_b-' || c_custkey || '.' END AS sequence_token, CASE WHEN c_custkey % 2 = 0 THEN '/mnt/d/chips/a_b' ELSE '/data/chips/a_b' END AS dir, substr(sha1('{"a":' || c_custkey || ',"b":"x"}'), 1, 10) AS content FROM customer""")
 def path_tokens(spark, sf_dir):
     k = F.col("c_custkey")
     lon, lat = F.col("c_acctbal") / 100.0, -k / 1000.0
@@ -165,5 +165,5 @@ def path_tokens(spark, sf_dir):
     root = F.when(k % 2 == 0, "D:\\chips").otherwise("/data/chips/")
     return table(spark, sf_dir, "customer").select(
         k.alias("key"), P.location_arg(lon, lat).alias("location"), lower.alias("lower"), upper.alias("upper"), P.token(F.concat(F.lit("  _Tag!! "), k.cast("string"), F.lit("_")), charset="A-Za-z0-9", edge="_", default="inventory", lower=True).alias("inventory_token"),
-        P.token(F.concat(F.lit("..a  b-"), k.cast("string"), F.lit("_."))).alias("task_token"), P.task_dir(root, F.lit("a_b")).alias("dir"), content_token(F.struct(k.alias("a"), F.lit("x").alias("b"))).alias("content"),
+        P.token(F.concat(F.lit("..a  b-"), k.cast("string"), F.lit("_."))).alias("task_token"), P.token(F.when(k % 2 == 0, " __ ").otherwise(F.concat(F.lit(" _.a  b-"), k.cast("string"), F.lit("._"))), edge="_", default="unknown").alias("sequence_token"), P.task_dir(root, F.lit("a_b")).alias("dir"), content_token(F.struct(k.alias("a"), F.lit("x").alias("b"))).alias("content"),
     )
