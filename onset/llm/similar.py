@@ -13,8 +13,10 @@ most as many bits as the sets differ in shingles, so this loses no pair either.
 Equal sets are made one before. Of texts that share a shingle, each is first compared
 with one that is the smallest of such a group, then with one neighbour by size to which
 it is not connected yet. In groups that still have several classes, the sketches
-of all members of different classes are compared, block by block, and only pairs that
-these allow are told. No row is made for any other pair.
+of all members of different classes are compared, block by block, and a spanning forest
+of the pairs that these allow is told. Within each class of that forest, the whole sets
+are compared, block by block again, and a spanning forest of the similar ones is told.
+So either step tells fewer pairs than it reads members, however many pairs there are.
 
 Defined cases: a text of fewer than ``SHINGLE`` words is one shingle; null and
 wordless texts have none and equal each other; a row without a key links nothing
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from onset.llm.common import bound_batches, join_few, release, scratch, without, written
 from onset.llm.graph import components
-from onset.llm.simhash import shingle_hashes
+from onset.llm.simhash import Forest, shingle_hashes
 
 SHINGLE = 5
 #: Texts that tell how rare shingles are, and how many of the common ones are told.
@@ -61,21 +63,22 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """``key``, ``hashes`` of rows of ``key`` and ``text``."""
+    """The rows with ``hashes`` in place of ``text``."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "hashes": pa.array(sets, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in others} | {"hashes": pa.array(sets, pa.list_(pa.int64()))})
         release()
 
-    return docs.mapInArrow(run, "key long, hashes array<long>")
+    return docs.mapInArrow(run, ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others), "hashes array<long>"]))
 
 
 def _common(docs: DataFrame, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample has more than once, ascending, and how often."""
     every = max(1, docs.count() // sample)
-    some = _sets(docs.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0))
+    some = _sets(docs.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key", "text"))
     rows = some.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).collect()
     hashes, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
     order = np.argsort(hashes)
@@ -166,13 +169,11 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
     # of its neighbours a key takes the one that it meets in most groups
     met = next_.where("p.c <> q.c").where(FITS).groupBy(F.col("p.key").alias("p"), F.col("q.key").alias("q")).agg(F.count("*").alias("n"))
     pairs = met.groupBy("p").agg(F.max(F.struct("n", "q")).alias("x")).select(*_ends("p", "x.q")).distinct().join(tried, ["a", "b"], "left_anti")
-    second = written(pairs, "pairs")
-    tried = tried.unionByName(second)
-    links = written(links.unionByName(_verified(docs, second, rows)), "similar")
+    links = written(links.unionByName(_verified(docs, written(pairs, "pairs"), rows)), "similar")
 
-    apart = written(_apart(apart.drop("c"), components(links)), "apart")
-    rest = written(_group_pairs(apart, rows).join(tried, ["a", "b"], "left_anti"), "pairs")
-    return components(links.unionByName(_verified(docs, rest, rows)))
+    roots = components(links)
+    near = components(_near_links(written(_apart(apart.drop("c"), roots), "apart"), rows))
+    return components(links.unionByName(_similar_links(docs, near, roots, rows)))
 
 
 #: What two members ``p`` and ``q`` of a group must fulfil to be similar.
@@ -180,8 +181,8 @@ FITS = "p.key <> q.key and 5 * least(p.size, q.size) >= 4 * greatest(p.size, q.s
 #: Members of a group that one comparison takes on either side, and the bytes of a
 #: sketch that go along with a membership. A larger set's sketch is folded to that.
 BLOCK, SHORT = 2000, 1024
-#: Pairs that a task remembers having told.
-TOLD, _LOW = 300_000, (1 << 64) - 1
+#: Shingles of whole sets that a comparison takes on either side, but for one text's.
+SHINGLES = 1 << 20
 #: Members of a group up to which groups of the same texts are made one.
 LISTED = 1000
 
@@ -204,8 +205,8 @@ def fold(sketch_: bytes, size: int) -> bytes:
 
 
 def _block_pairs(key, cls, size, pos, sketches: list[bytes], block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of the plausible pairs of different classes, of members of two blocks (of
-    one, if all are of the same), without a row for any other pair."""
+    """Indexes of the plausible pairs of different classes, of members of two blocks (of
+    one, if all are of the same)."""
     width = np.array([len(x) for x in sketches])
     left, right = block == block.min(), block == block.max()
     same = bool((left & right).any())
@@ -229,12 +230,13 @@ def _block_pairs(key, cls, size, pos, sketches: list[bytes], block) -> Iterator[
                     ok &= key[a][:, None] < key[j][None, :]
                 p, q = np.nonzero(ok)
                 if p.size:
-                    yield np.minimum(key[a[p]], key[j[q]]), np.maximum(key[a[p]], key[j[q]])
+                    yield a[p], j[q]
 
 
-def _group_pairs(apart: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``a``, ``b``: pairs of different classes that share a group and whose sketches
-    are near. Large groups are dealt out as pairs of blocks of ``BLOCK`` members."""
+def _near_links(apart: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``a``, ``b``: links that connect all keys of different classes that share a group
+    and whose sketches are near. Large groups are dealt out as pairs of blocks of
+    ``BLOCK`` members."""
     group = Window.partitionBy("h")
     rows = apart.withColumns({"least": F.min("key").over(group), "_i": F.floor((F.row_number().over(group.orderBy("key")) - 1) / BLOCK).cast("int"), "_n": F.ceil(F.count("*").over(group) / BLOCK).cast("int")})
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
@@ -242,55 +244,110 @@ def _group_pairs(apart: DataFrame, sketches: DataFrame) -> DataFrame:
     # a key with several sets passes by any of them: its sketch says nothing
     rows = rows.join(held, "key").withColumn("sketch", F.when(F.col("_k") == 1, F.col("sketch")))
     part = rows.select("least", "h", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.col("_i").alias("block"), "key", "c", "size", "pos", "sketch")
-    # groups with the same smallest key are mostly of the same texts: their pairs meet in
-    # one task, which tells each once
+    # groups with the same smallest key are mostly of the same texts: their links meet in one task
     part = part.repartition("least", "i", "j").sortWithinPartitions("least", "h", "i", "j")
 
-    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
         key, cls, size, pos, block = (np.asarray(table.column(c)).astype(np.int64) for c in ("key", "c", "size", "pos", "block"))
-        # no sketch: all bits are unknown, which a size of its own width stands for
-        known = [x if x is not None else b"" for x in table.column("sketch").to_pylist()]
-        there = np.array([bool(x) for x in known])
-        if not there.all():  # compared without sketches; such keys are few
-            for k in np.flatnonzero(~there):
-                others = np.flatnonzero((cls != cls[k]) & (key != key[k]))
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(key[others], key[k]), "b": np.maximum(key[others], key[k])})
-            key, cls, size, pos, block, known = key[there], cls[there], size[there], pos[there], block[there], [x for x in known if x]
-        if key.size > 1:
-            for a, b in _block_pairs(key, cls, size, pos, [fold(x, SHORT) for x in known], block):
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-
-    told: set[int] = set()  # a pair as one number takes half the memory
-
-    def new(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            fresh = [(a, b) for a, b in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), strict=True) if a << 64 | b & _LOW not in told]
-            if len(told) > TOLD:
-                told.clear()  # some are told again
-            told.update(a << 64 | b & _LOW for a, b in fresh)
-            if fresh:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in fresh], pa.int64()), "b": pa.array([b for _, b in fresh], pa.int64())})
+        known = [x or b"" for x in table.column("sketch").to_pylist()]
+        there, forest = np.array([bool(x) for x in known]), Forest(key.size)
+        for k in np.flatnonzero(~there):  # compared without sketches; such keys are few
+            others = np.flatnonzero((cls != cls[k]) & (key != key[k]))
+            forest.join(np.full(others.size, k), others)
+        at = np.flatnonzero(there)
+        if at.size > 1:
+            for a, b in _block_pairs(key[at], cls[at], size[at], pos[at], [fold(known[k], SHORT) for k in at], block[at]):
+                forest.join(at[a], at[b])
+        hang = np.flatnonzero(forest.root != np.arange(key.size))
+        return pa.RecordBatch.from_pydict({"a": key[hang], "b": key[forest.root[hang]]})
+
+    return part.mapInArrow(_by_group(["least", "h", "i", "j"], links), "a long, b long")
+
+
+def _by_group(names: list[str], links):
+    """``links`` of the rows of each group; rows of a group stand together."""
+
+    def told(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (found := links(held)).num_rows:
+            yield found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
         for batch in batches:
-            names = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("least", "h", "i", "j")], axis=1)
-            starts = np.append(np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(axis=1))), batch.num_rows) if batch.num_rows else np.zeros(1, np.int64)
+            named = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in names], axis=1)
+            starts = np.append(np.flatnonzero(np.append(True, (named[1:] != named[:-1]).any(axis=1))), batch.num_rows) if batch.num_rows else np.zeros(1, np.int64)
             for a, b in pairwise(starts.tolist()):
-                if now is not None and tuple(names[a]) != now:
-                    yield from new(pairs(held))
+                if now is not None and tuple(named[a]) != now:
+                    yield from told(held)
                     held = []
-                    if names[a][0] != now[0]:
-                        told.clear()
-                now = tuple(names[a])
+                now = tuple(named[a])
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from new(pairs(held))
+            yield from told(held)
         release()
 
-    return part.mapInArrow(run, "a long, b long").distinct()
+    return run
+
+
+def set_links(cls: np.ndarray, sets: list[np.ndarray], block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes ``a``, ``b`` of similar sets that connect all similar sets of two blocks (of
+    one, if all are of the same) and different classes: a spanning forest."""
+    order = np.lexsort((np.array([x.size for x in sets], np.int64), block))
+    sets = [sets[k] for k in order]
+    size, (_, root), block = np.array([x.size for x in sets], np.int64), np.unique(cls[order], return_inverse=True), block[order]
+    ends = np.append(0, np.cumsum(size))
+    shingles, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    first = int(np.searchsorted(block, block.max()))  # the other block's
+    mine, found = np.zeros(shingles.size, np.int64), []
+    for k in range(first or size.size):
+        # the sets of the sizes that allow it, which stand together
+        low = first + int(np.searchsorted(size[first:], -(-4 * size[k] // 5))) if first else k + 1
+        high = first + int(np.searchsorted(size[first:], 5 * size[k] // 4, "right"))
+        others = low + np.flatnonzero(root[low:high] != root[k])
+        if not others.size or not size[k]:
+            continue
+        mine[ids[ends[k] : ends[k + 1]]] = 1
+        low, high = int(others[0]), int(others[-1]) + 1
+        common = np.add.reduceat(mine[ids[ends[low] : ends[high]]], ends[low:high] - ends[low])[others - low]
+        mine[ids[ends[k] : ends[k + 1]]] = 0
+        for other in others[9 * common >= 4 * (size[k] + size[others])]:
+            if root[other] != root[k]:
+                root[root == root[other]] = root[k]
+                found.append((order[k], order[other]))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def _similar_links(docs: DataFrame, near: DataFrame, roots: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a``, ``b``: links between similar keys that connect all similar keys of a class of
+    ``near``. Large classes are dealt out as pairs of blocks of ``BLOCK`` sets and
+    ``SHINGLES`` shingles."""
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("key"), F.col("root").alias("p"))
+    sizes = rows.groupBy("key").agg((F.sum("size") + F.count("*") * F.lit(SHINGLES // BLOCK)).alias("_w"))
+    before = Window.partitionBy("p").orderBy("_w", "key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = near.join(sizes, "key").withColumn("block", F.floor(F.coalesce(F.sum("_w").over(before), F.lit(0)) / SHINGLES).cast("int"))
+    placed = placed.withColumn("_n", F.max("block").over(Window.partitionBy("p"))).join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    placed = placed.select("key", "p", F.coalesce("root", "key").alias("c"), "block", "_n")
+    dealt = _sets(join_few(docs, placed, ["key"], "inner", "text")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    dealt = dealt.select("p", F.least("block", "_j").alias("i"), F.greatest("block", "_j").alias("j"), "block", "key", "c", "hashes")
+
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        seen, kept = set(), []  # repeated rows count once
+        for n, batch in enumerate(rows):
+            at, flat = np.asarray(batch.column("hashes").offsets), np.asarray(batch.column("hashes").values)
+            for m, k in enumerate(batch.column("key").to_pylist()):
+                one = flat[at[m] : at[m + 1]]
+                if (name := (k, hashlib.blake2b(one.tobytes(), digest_size=16).digest())) not in seen:
+                    seen.add(name)
+                    kept.append((k, batch.column("c")[m].as_py(), batch.column("block")[m].as_py(), one))
+        key, cls, block = (np.array([x[c] for x in kept], np.int64) for c in range(3))
+        a, b = set_links(cls, [x[3] for x in kept], block)
+        return pa.RecordBatch.from_pydict({"a": key[a], "b": key[b]})
+
+    dealt = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
+    return dealt.mapInArrow(_by_group(["p", "i", "j"], links), "a long, b long")
 
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

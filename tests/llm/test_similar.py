@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from onset.llm import similar
+from onset.llm.graph import components
 from tests.llm.samples import SCHEMA, SF, documents
 
 
@@ -77,3 +78,43 @@ def test_empty_and_keyless_rows(spark):
     assert similar.drop_similar(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b"), (2, "A b"), (2, "c")], "doc_id long, text string")
     assert sorted(map(str, (r[0] for r in similar.drop_similar(rows).collect()))) == ["1", "None", "None"]
+
+
+def test_a_large_family_gives_no_row_for_each_pair(spark, monkeypatch):
+    """Edits of one text at about the limit: 20,000 pairs are similar, some are not."""
+    rng, base, counts = random.Random(5), [f"w{i}" for i in range(90)], []
+    rows = []
+    for n in range(300):
+        words = list(base)
+        for at in rng.sample(range(5, 85), 2 if n % 3 == 0 else 1):
+            words[at] = f"v{n}x{at}"
+        rows.append((n, " ".join(words)))
+
+    def counted(links):
+        counts.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(similar, "components", counted)
+    got = {r["node"]: r["root"] for r in similar.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_roots(rows)
+    assert len(set(want.values())) > 1 and {k: got.get(k, k) for k, _ in rows} == want
+    assert counts[-1] < 3 * len(rows)
+
+
+@pytest.mark.parametrize(("block", "shingles"), [(2000, 1 << 20), (7, 1 << 20), (2000, 300)])
+def test_whole_sets_in_blocks(spark, monkeypatch, block, shingles):
+    """Keys that repeat with other texts and with the same one; classes in many blocks."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "SHINGLES", shingles)
+    rows = made()
+    rows += [(k, rows[k + 40][1]) for k in range(3)] + rows[:5]
+    texts = spark.createDataFrame(rows, "key long, text string")
+    prefixes = similar._prefixes(texts, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    near = spark.createDataFrame([(k, 0) for k in range(1, len(made()))], "node long, root long")
+    none = near.where("node < 0")
+    got = {r["node"]: r["root"] for r in components(similar._similar_links(texts, near, none, prefixes)).collect()}
+    want = brute_roots([(k, t) for k, t in made() if brute_shingles(t)])
+    for k in range(3):  # such a key ties both texts
+        low, high = sorted((want[k], want[k + 40])) if k in want and k + 40 in want else (k, k)
+        want = {n: low if r == high else r for n, r in want.items()}
+    assert {k: got.get(k, k) for k in want} == want
