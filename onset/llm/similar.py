@@ -1,7 +1,10 @@
-"""Near-duplicates by the true similarity of word shingles.
+"""Near-duplicates by SimHash and the true similarity of word shingles.
 
 Two texts link when the Jaccard similarity of their sets of ``SHINGLE`` words is at
-least 4/5. All such pairs are found: under any one order of all shingles, two such
+least 4/5. First come the pairs that SimHash proposes: fingerprints of the sets, linked
+by the self-join of binary tries at ``simhash.ERRORS`` differing bits, whose sets are
+then compared. Texts at 4/5 differ by ten bits or so, beyond what tries can be dealt
+by, so the rest is found exactly, whatever SimHash has missed: under any one order of all shingles, two such
 sets of s and t shingles share one among the first s - ceil(4s/5) + 1 of the one and
 as many of the other. The order is by rarity in a sample, then by hash; the sample
 moves work, never results. Texts that share such a shingle, and whose sizes and
@@ -10,9 +13,8 @@ themselves by 64-bit hashes. Before that, sketches are compared: which of some
 buckets hold an odd number of a set's shingles. The sketches of two sets differ in at
 most as many bits as the sets differ in shingles, so this loses no pair either.
 
-Equal sets are made one before. Of texts that share a shingle, each is first compared
-with one that is the smallest of such a group, then with one neighbour by size to which
-it is not connected yet. In groups that still have several classes, the sketches
+Equal sets are made one before. Of texts that share a shingle, each is compared with
+one neighbour by size to which it is not connected yet. In groups that still have several classes, the sketches
 of all members of different classes are compared, block by block, and a spanning forest
 of the pairs that these allow is told. Within each class of that forest, the whole sets
 are compared, block by block again, and a spanning forest of the similar ones is told.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from onset.llm.common import bound_batches, join_few, release, scratch, without, written
 from onset.llm.graph import components
-from onset.llm.simhash import Forest, shingle_hashes
+from onset.llm.simhash import Forest, fingerprint_links, shingle_hashes
 
 SHINGLE = 5
 #: Texts that tell how rare shingles are, and how many of the common ones are told.
@@ -49,6 +51,14 @@ def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed 64-bit integer."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, hashes.size, 1 << 15):
+        ones += np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > hashes.size, bitorder="little").view("<i8")[0])
+
+
 def sketch(hashes: np.ndarray) -> bytes:
     """The parity of each of m buckets, m the power of two at or above twice the
     set's size (64 at least): a bit a bucket."""
@@ -95,19 +105,28 @@ def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.nda
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``key``, ``digest`` of the whole set, its ``size``, ``sketch`` and ``first``
-    shingles."""
+    """``key``, ``digest`` of the whole set, its ``size``, fingerprint ``fp``, ``sketch``
+    and ``first`` shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "key": batch.column("key"), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                "size": pa.array([s.size for s in sets], pa.int32()), "sketch": pa.array([sketch(s) for s in sets], pa.binary()), "first": pa.array([prefix(s, common, counts).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                "size": pa.array([s.size for s in sets], pa.int32()), "fp": pa.array([set_fingerprint(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) for s in sets], pa.binary()), "first": pa.array([prefix(s, common, counts).view(np.int64) for s in sets], pa.list_(pa.int64())),
             })
         release()
 
-    return docs.mapInArrow(run, "key long, digest binary, size int, sketch binary, first array<long>")
+    return docs.mapInArrow(run, "key long, digest binary, size int, fp long, sketch binary, first array<long>")
+
+
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """``a``, ``b``: pairs that connect all ``key`` of sets of some ``size`` whose
+    fingerprints ``fp`` are equal or near; fewer than there are rows."""
+    prints = sets.where("size > 0").select("key", "fp")
+    least = written(prints.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "reps")
+    same = join_few(prints, least.where("n > 1").select("fp", "rep"), ["fp"], "inner", "key").select(*_ends("key", "rep"))
+    return same.unionByName(fingerprint_links(least.select("fp", "rep")).select(*_ends("a", "b"))).where("a < b").distinct()
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -145,24 +164,21 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
     equal = written(equal, "equal-sets")
     # a key that only repeats a set has its first shingles told by the smallest key
     reps = join_few(rows, same.withColumnRenamed("a", "least"), ["digest"], "left", "key").where("least is null or key = least")
+    tried = written(fingerprint_pairs(reps), "pairs")
+    links = written(_verified(docs, tried, rows).unionByName(equal), "similar")
+
     told = reps.select("key", "size", F.posexplode("first").alias("pos", "h"))
     # dealt out as two longs and the key, and most shingles stand in one text only
     told = told.select("h", "key", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("pos")).alias("at")).repartition("h")
     told = told.select("h", "key", F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
-    me, group = F.struct("size", "key", "pos"), Window.partitionBy("h")
-    shared = told.withColumns({"star": F.min(me).over(group), "n": F.count("*").over(group), "other": F.max(me).over(group)}).where("star.key <> other.key")
+    group = Window.partitionBy("h")
+    shared = told.withColumns({"_least": F.min("key").over(group), "n": F.count("*").over(group), "_most": F.max("key").over(group)}).where("_least < _most")
     # a passage gives as many groups of the same texts as it has shingles: the one that
     # comes first in the order of all shingles stands for them
     sets = shared.where(F.col("n") <= LISTED).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("key", "size", "pos"))).alias("of"))
     sets = sets.groupBy(F.transform("of", lambda x: x["key"]).alias("keys")).agg(F.min_by(F.struct("h", "of"), F.struct(F.get("of", F.lit(0))["pos"], "h")).alias("x"))
-    star = F.array_min(F.transform("x.of", lambda m: F.struct(m["size"].alias("size"), m["key"].alias("key"), m["pos"].alias("pos"))))
-    listed = sets.select("x.h", star.alias("star"), F.explode("x.of").alias("m")).select("h", "m.key", "m.size", "m.pos", "star")
-    members = written(listed.unionByName(shared.where(F.col("n") > LISTED).select("h", "key", "size", "pos", "star")), "members")
-
-    best = members.select(me.alias("p"), F.col("star").alias("q")).where(FITS)
-    one = best.groupBy("p.key").agg(F.min(F.struct("q.size", "q.key")).alias("q")).select(*_ends("key", "q.key")).distinct()
-    tried = written(one, "pairs")
-    links = written(_verified(docs, tried, rows).unionByName(equal), "similar")
+    listed = sets.select("x.h", F.explode("x.of").alias("m")).select("h", "m.key", "m.size", "m.pos")
+    members = written(listed.unionByName(shared.where(F.col("n") > LISTED).select("h", "key", "size", "pos")), "members")
 
     apart = written(_apart(members, components(links)), "apart")
     next_ = apart.select(F.struct("size", "key", "pos", "c").alias("p"), F.lag(F.struct("size", "key", "pos", "c")).over(group.orderBy("size", "key")).alias("q"))

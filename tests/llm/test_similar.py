@@ -5,11 +5,14 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from onset.llm import similar
 from onset.llm.graph import components
+from onset.llm.simhash import fingerprint_links
 from tests.llm.samples import SCHEMA, SF, documents
+from tests.llm.test_simhash import brute_classes
 
 
 def brute_shingles(text: str | None) -> set:
@@ -118,3 +121,26 @@ def test_whole_sets_in_blocks(spark, monkeypatch, block, shingles):
         low, high = sorted((want[k], want[k + 40])) if k in want and k + 40 in want else (k, k)
         want = {n: low if r == high else r for n, r in want.items()}
     assert {k: got.get(k, k) for k in want} == want
+
+
+def test_the_stage_links_by_fingerprints_in_tries(spark, monkeypatch):
+    """Pairs that connect all fingerprints of five-word sets at up to three differing
+    bits, and nothing else; the stage compares them."""
+    asked = []
+
+    def linked(reps):
+        asked.append(reps.count())
+        return fingerprint_links(reps)
+
+    monkeypatch.setattr(similar, "fingerprint_links", linked)
+    docs = [*documents(), *((k + 100_000, t) for k, t in made())]
+    prints = {}
+    for k, t in docs:
+        hashes = {xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in brute_shingles(t)}
+        if hashes:
+            prints[k] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    texts = spark.createDataFrame(docs, "key long, text string")
+    pairs = similar.fingerprint_pairs(similar._prefixes(texts, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    got = {r["node"]: r["root"] for r in components(pairs).collect()}
+    assert pairs.count() < len(docs) and [got.get(k, k) for k in prints] == brute_classes(list(prints.items()))
+    assert corpus_pipeline.near(spark, texts.selectExpr("key AS doc_id", "text"), SF).count() and len(asked) == 2
