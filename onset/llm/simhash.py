@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onset.llm.common import bound_batches, join_few, release, scratch, without, written
-from onset.llm.graph import components
+from onset.llm.graph import Forest, components
 
 SHINGLE, ERRORS, SEED = 3, 3, 42
 #: Fixed bits of a bucket, by how often it was dealt: each time a quarter of the rest
@@ -79,22 +79,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-class Forest:
-    """Union of indexes, told in blocks of pairs."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while a.size:
-            a, b = self.root[a], self.root[b]
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while ((up := self.root[self.root]) != self.root).any():
-                self.root = up
-
-
 def trie_join(codes: np.ndarray, lows: np.ndarray, highs: np.ndarray, depth: int, errors: int = ERRORS, block: int = 1 << 17) -> Forest:
     """Link the codes (unsigned, ascending within each range [low, high), whose
     first ``depth`` bits are equal there) at up to ``errors`` differing bits.

@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from onset.llm.common import bound_batches, join_few, release, scratch, without, written
-from onset.llm.graph import components
-from onset.llm.simhash import Forest, fingerprint_links, shingle_hashes
+from onset.llm.graph import Forest, components
+from onset.llm.simhash import fingerprint_links, shingle_hashes
 
 SHINGLE = 5
 #: Texts that tell how rare shingles are, and how many of the common ones are told.
@@ -165,7 +165,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
     # a key that only repeats a set has its first shingles told by the smallest key
     reps = join_few(rows, same.withColumnRenamed("a", "least"), ["digest"], "left", "key").where("least is null or key = least")
     tried = written(fingerprint_pairs(reps), "pairs")
-    links = written(_verified(docs, tried, rows).unionByName(equal), "similar")
+    roots = components(_verified(docs, tried, rows).unionByName(equal))
 
     told = reps.select("key", "size", F.posexplode("first").alias("pos", "h"))
     # dealt out as two longs and the key, and most shingles stand in one text only
@@ -180,16 +180,15 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
     listed = sets.select("x.h", F.explode("x.of").alias("m")).select("h", "m.key", "m.size", "m.pos")
     members = written(listed.unionByName(shared.where(F.col("n") > LISTED).select("h", "key", "size", "pos")), "members")
 
-    apart = written(_apart(members, components(links)), "apart")
+    apart = written(_apart(members, roots), "apart")
     next_ = apart.select(F.struct("size", "key", "pos", "c").alias("p"), F.lag(F.struct("size", "key", "pos", "c")).over(group.orderBy("size", "key")).alias("q"))
     # of its neighbours a key takes the one that it meets in most groups
     met = next_.where("p.c <> q.c").where(FITS).groupBy(F.col("p.key").alias("p"), F.col("q.key").alias("q")).agg(F.count("*").alias("n"))
     pairs = met.groupBy("p").agg(F.max(F.struct("n", "q")).alias("x")).select(*_ends("p", "x.q")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = written(links.unionByName(_verified(docs, written(pairs, "pairs"), rows)), "similar")
 
-    roots = components(links)
+    roots = components(roots.toDF("a", "b").unionByName(_verified(docs, written(pairs, "pairs"), rows)))
     near = components(_near_links(written(_apart(apart.drop("c"), roots), "apart"), rows))
-    return components(links.unionByName(_similar_links(docs, near, roots, rows)))
+    return components(roots.toDF("a", "b").unionByName(_similar_links(docs, near, roots, rows)))
 
 
 #: What two members ``p`` and ``q`` of a group must fulfil to be similar.
