@@ -20,8 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from onset.functions.parse import once
 from onset.sources.config import ScanConfig
-from onset.sources.shared import new_path, optional_table, stored, written
+from onset.sources.shared import new_path, optional_table, spread, stored, written
 
 # Statuses, kinds of rounds, flags and sources of state documents.
 SCANNING = "scanning"
@@ -62,7 +63,7 @@ def with_catalog(states: DataFrame, catalog: DataFrame, more: list[str] | None =
     """``states`` with the array ``vintages`` of a catalog of ``anchor_id``,
     ``capture_date``, ``version`` and further columns. The one exchange of a scan."""
     rows = catalog.select(F.col("anchor_id").cast("string").alias("anchor_id"), F.struct(F.col("capture_date").cast("string").alias("capture_date"), F.col("version").cast("int").alias("version"), *(more or [])).alias("v"))
-    return states.join(rows.groupBy("anchor_id").agg(F.array_sort(F.collect_list("v")).alias("vintages")), "anchor_id", "left").withColumn("vintages", F.coalesce("vintages", F.array()))
+    return states.join(rows.groupBy("anchor_id").agg(F.sort_array(F.collect_list("v")).alias("vintages")), "anchor_id", "left").withColumn("vintages", F.coalesce("vintages", F.array()))
 
 
 def all_results(rounds: Column) -> Column:
@@ -132,7 +133,7 @@ def candidates(states: DataFrame, config: ScanConfig) -> DataFrame:
     df = states.withColumn("_results", all_results(c("rounds"))).withColumn("_scored", F.transform("_results", lambda x: x["capture_date"]))
     usable = F.transform(F.filter("_results", is_usable), lambda x, i: F.struct(x["capture_date"].alias("d"), i.alias("i"), x["pv_present"].alias("p")))
     df = df.withColumns({
-        "_usable": F.array_sort(usable), "_left": F.filter(F.array_sort("vintages"), lambda v: ~F.array_contains("_scored", v["capture_date"])), "_last": F.get("rounds", F.size("rounds") - 1),
+        "_usable": F.sort_array(usable), "_left": F.filter(F.sort_array("vintages"), lambda v: ~F.array_contains("_scored", v["capture_date"])), "_last": F.get("rounds", F.size("rounds") - 1),
     })
     step = lambda x, i: F.get("_usable", i + 1)
     turns = F.filter(F.transform("_usable", lambda x, i: F.when(~x["p"] & step(x, i)["p"], F.struct(x["d"].alias("a"), step(x, i)["d"].alias("b")))), lambda t: t.isNotNull())
@@ -177,7 +178,7 @@ def decide(states: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     config, c = config or ScanConfig(), F.col
     df = plan(candidates(states, config), config)
     # spread evenly: the first round over the recent years, walk-backs over their window
-    pool = F.when(c("_plan") == "initial", floor_window(F.array_sort("vintages"), config.floor_year)).when(c("_plan") == "walk_back", c("_window"))
+    pool = F.when(c("_plan") == "initial", floor_window(F.sort_array("vintages"), config.floor_year)).when(c("_plan") == "walk_back", c("_window"))
     df = df.withColumn("_pool", pool)
     even = F.transform(even_spots(F.size("_pool"), config.picks), lambda i: F.get("_pool", i))
     chosen = F.when(c("_plan").isin("initial", "walk_back"), even).when(c("_plan") == "tail", c("_older")).when(c("_plan") == "bisection", c("_gap")).when(c("_plan") == "anchor_recovery", F.slice("_left", -1, 1))
@@ -231,7 +232,7 @@ def by_table(scorer: Callable[[DataFrame], DataFrame]) -> Executor:
         rows = picks.join(have, ["anchor_id", "chip_index"], "left")
         fields = [F.when(F.col("_there"), F.coalesce(c, F.lit("")) if c in ("evidence", "notes", "chip_path") else F.col(c)).otherwise(F.lit(_LEFT.get(c))).alias(c) for c in _FOUND]
         made = rows.select("anchor_id", "error", F.struct("chip_index", "capture_date", "version", *fields).alias("x"))
-        scores = made.groupBy("anchor_id").agg(F.array_sort(F.collect_list("x")).cast(f"array<{RESULT}>").alias("_scores"), F.max("error").alias("_error"))
+        scores = made.groupBy("anchor_id").agg(F.sort_array(F.collect_list("x")).cast(f"array<{RESULT}>").alias("_scores"), F.max("error").alias("_error"))
         return decided.join(scores, "anchor_id", "left")
 
     return run
@@ -281,7 +282,7 @@ def run_scan(states: DataFrame, execute: Executor, config: ScanConfig | None = N
     last = marks().agg(F.max("step")).first()[0]
     if last is None:
         last = 0
-        now = stored(states.select(*schema.names), f"{folder}/steps/0")
+        now = stored(spread(states.select(*schema.names), "anchor_id"), f"{folder}/steps/0")
         stored(spark.createDataFrame([(0,)], "step int"), f"{folder}/marks/0")
     tables = [spark.read.schema(schema).parquet(f"{folder}/steps/{n}") for n in range(last + 1)]
     now = tables[-1]
@@ -318,24 +319,24 @@ def dry_run_profile(anchor_id: Column) -> Column:
 def dry_run_vintages(anchor_id: Column) -> Column:
     """A made-up catalog from 2009-04 to 2025-03: a first day of a month every four to
     eight months, as the month and the hash say; some are left out."""
-    seed = anchor_hash(anchor_id)
-    state = f"struct<m:int,version:int,out:array<{VINTAGE}>>"
-    start = F.struct(F.lit(3).alias("m"), (100 + seed % 50).cast("int").alias("version"), F.array().cast(f"array<{VINTAGE}>").alias("out")).cast(state)
-    end = 16 * 12 + 3  # months since 2009-01
-
-    def step(s: Column, _: Column) -> Column:
-        month = s["m"] % 12 + 1
-        emits = (s["m"] < end) & ((month + seed) % 7 != 0)
-        date = F.format_string("%04d-%02d-01", (2009 + F.floor(s["m"] / 12)).cast("int"), month)
-        out = F.when(emits, F.concat(s["out"], F.array(F.struct(date.alias("capture_date"), s["version"].alias("version"))))).otherwise(s["out"])
-        return F.struct((s["m"] + (4 + (month + seed) % 5).cast("int")).alias("m"), (s["version"] + emits.cast("int")).alias("version"), out.alias("out")).cast(state)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(end // 4)), start, step, lambda s: s["out"])
+    dates, end = [], 16 * 12 + 3  # months since 2009-01
+    for seed in range(35):  # the steps know the hash by its remainders of 5 and 7 only
+        months, m = [], 3
+        while m < end:
+            if (m % 12 + 1 + seed) % 7 != 0:
+                months.append(m)
+            m += 4 + (m % 12 + 1 + seed) % 5
+        dates.append(F.lit(",".join(f"{2009 + m // 12:04d}-{m % 12 + 1:02d}-01" for m in months)))
+    every = lambda seed: F.split(F.get(F.array(*dates), (seed % 35).cast("int")), ",")
+    return once(anchor_hash(anchor_id), lambda seed: F.transform(every(seed), lambda d, i: F.struct(d.alias("capture_date"), (100 + seed % 50 + i).cast("int").alias("version"))))
 
 
 def dry_run_score(pick: Column) -> Column:
     """Present from the profile's date on, always or never."""
-    profile = dry_run_profile(F.col("anchor_id"))
+    return once(dry_run_profile(F.col("anchor_id")), lambda profile: _profile_score(profile, pick))
+
+
+def _profile_score(profile: Column, pick: Column) -> Column:
     since = F.concat(F.substring(profile, 9, 4), F.lit("-06-15"))
     present = F.when(profile == "all_present", True).when(profile == "all_absent", False).otherwise(pick["capture_date"] >= since)
     return F.struct(

@@ -9,7 +9,7 @@ from onset.operators import scan
 from onset.operators import series as S
 from onset.plans.registry import query
 from onset.sources.config import ScanConfig
-from onset.sources.shared import written
+from onset.sources.shared import spread, written
 from onset.sources.tables import table
 
 REPLAY = ScanConfig(floor_year=1999, walk_back_years=2)
@@ -65,12 +65,13 @@ FROM h LEFT JOIN dv ON dv.anchor_id = h.anchor_id GROUP BY 1"""
 
 def _dry_states(spark, sf_dir):
     anchors = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("anchor_id"), F.col("c_nationkey").cast("string").alias("region_key"), F.lit("g").alias("grid_id"))
-    return scan.new_states(anchors).withColumn("vintages", scan.dry_run_vintages(F.col("anchor_id")))
+    return scan.new_states(spread(anchors, "anchor_id")).withColumn("vintages", scan.dry_run_vintages(F.col("anchor_id")))
 
 
 @query(f"WITH {_DRY} SELECT anchor_id, d AS capture_date, version FROM dv")
 def dry_run_catalog(spark, sf_dir):
-    return _dry_states(spark, sf_dir).select("anchor_id", F.inline("vintages"))
+    # outer, since for an inner one the optimizer makes the dates before it as well
+    return _dry_states(spark, sf_dir).select("anchor_id", F.inline_outer("vintages")).where("capture_date is not null")
 
 
 @query(f"WITH {_DRY}, {_scan_sql(_DRY_BASE, ScanConfig())} {_OUT}")

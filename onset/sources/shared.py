@@ -26,6 +26,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in as many parts as all cores can take, by a key: a table of short rows
+    may lie in one block of a file, and then one task would do all that is done with
+    its rows. A fixed number, which the engine does not lower by the rows' size."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """``df`` written to ``path`` in place of what is there, and read again."""
     df.write.mode("overwrite").parquet(path)
