@@ -39,7 +39,7 @@ def anchor_report(states: DataFrame, intervals: DataFrame) -> DataFrame:
 def chip_report(states: DataFrame) -> DataFrame:
     """One row a result, in its round's order of dates."""
     rounds = states.select("anchor_id", F.explode("rounds").alias("r"))
-    chips = rounds.select("anchor_id", "r.round_id", "r.round_type", F.posexplode(F.array_sort(F.transform("r.results", lambda x, i: F.struct(x["capture_date"].alias("d"), i.alias("i"), x.alias("x"))))).alias("position", "c"))
+    chips = rounds.select("anchor_id", "r.round_id", "r.round_type", F.posexplode(F.sort_array(F.transform("r.results", lambda x, i: F.struct(x["capture_date"].alias("d"), i.alias("i"), x.alias("x"))))).alias("position", "c"))
     x = F.col("c.x")
     return chips.select("anchor_id", "round_id", "round_type", "position", F.col("c.d").alias("capture_date"), verdict(x["quality_flag"], x["pv_present"]).alias("verdict"), verdict_label(x["quality_flag"], x["pv_present"], x["decision_source"]).alias("label"), x["actual_zoom"].alias("zoom"), F.left(F.coalesce(x["evidence"], F.lit("")), F.lit(200)).alias("evidence"))
 
@@ -59,7 +59,7 @@ def html_sections(states: DataFrame, intervals: DataFrame) -> DataFrame:
         return F.concat(F.lit("<li class='"), kind, F.lit("'>"), text(x["capture_date"]), F.lit(" "), text(verdict_label(x["quality_flag"], x["pv_present"], x["decision_source"])), F.lit("</li>"))
 
     def block(r: Column) -> Column:
-        chips = F.array_join(F.transform(F.array_sort(F.transform(r["results"], lambda x, i: F.struct(x["capture_date"].alias("d"), i.alias("i"), x.alias("x")))), lambda c: chip(c["x"])), "")
+        chips = F.array_join(F.transform(F.sort_array(F.transform(r["results"], lambda x, i: F.struct(x["capture_date"].alias("d"), i.alias("i"), x.alias("x")))), lambda c: chip(c["x"])), "")
         return F.concat(F.lit("<h3>R"), r["round_id"].cast("string"), F.lit(" "), text(r["round_type"]), F.lit("</h3><ul>"), chips, F.lit("</ul>"))
 
     rows = anchor_report(states, intervals)

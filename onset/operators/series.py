@@ -57,7 +57,7 @@ def patterns(df: DataFrame, key: str, order: list[str], date: str = "capture_dat
     seen = F.coalesce(F.max(F.coalesce(F.col(present), F.lit(False))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     mark = F.when(F.col(present), "1").when(~F.col(present), "0").otherwise("?")
     rows = df.select(key, F.struct(*order).alias("_o"), F.col(date).alias("_d"), F.col(present).alias("_p"), mark.alias("_m"), (seen & ~F.col(present)).alias("_bad"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_m"))), lambda x: x["_m"]), "-")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_m"))), lambda x: x["_m"]), "-")
     state = F.when(F.coalesce(F.bool_or("_bad"), F.lit(False)), "non_monotonic_requires_review").when(F.bool_or(F.col("_p").isNull()), "monotonic_with_unknown").otherwise("monotonic")
     return rows.groupBy(key).agg(text.alias("pattern"), F.min(F.when(F.col("_p"), F.col("_d"))).alias("first_present"), state.alias("consistency"))
 
@@ -117,7 +117,7 @@ def repair_states(df: DataFrame, key: str, order: list[str], status: str = "stat
     marked = marked.withColumn("flipped", F.coalesce(flips, F.lit(False)))
     done = marked.withColumns({
         present: p | F.col("flipped"), notes: F.when(F.col("flipped"), F.concat_ws(" | ", F.nullif(F.col(notes), F.lit("")), F.lit("repaired_isolated_dip"))).otherwise(F.col(notes)),
-        "repaired_dates": F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(F.col("_dip"), F.col(date).cast("string"))).over(w)), ","), F.lit("")),
+        "repaired_dates": F.nullif(F.array_join(F.sort_array(F.collect_set(F.when(F.col("_dip"), F.col(date).cast("string"))).over(w)), ","), F.lit("")),
     })
     t, f = (F.when(usable & x, at) for x in (p, ~p))
     ends = {"_t0": F.min(t).over(w), "_t1": F.max(t).over(w), "_f0": F.min(f).over(w), "_f1": F.max(f).over(w)}

@@ -28,7 +28,7 @@ def parse_info_text(spark, sf_dir):
     head = F.when(odd, F.format_string("Level=%d, Path=p%d", "l_linenumber", "l_suppkey")).otherwise(F.format_string("Level = %d, Path = %s", "l_linenumber", _base4(F.col("l_suppkey"))))
     line = F.concat(head, F.lit("\n"), F.when(F.col("l_returnflag") != "R", F.format_string(" date=%s, version=%d", F.date_format("l_shipdate", "yyyy/MM/dd"), "l_partkey")).otherwise(" none"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line.alias("line")).alias("x"))
-    texts = rows.groupBy("doc").agg(F.concat(F.lit(" date=2000/01/01, version=1\r\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")).alias("text"))
+    texts = rows.groupBy("doc").agg(F.concat(F.lit(" date=2000/01/01, version=1\r\n"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n")).alias("text"))
     return R.header_lines(texts, "doc", "text")
 
 
@@ -72,7 +72,7 @@ def _grid():
 
 def _matrices(spark, sf_dir, shape):
     lines = _cells(spark, sf_dir).select("doc", F.struct("n", _cell_line().alias("line")).alias("o"))
-    return lines.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["line"]).alias("l")).select("doc", shape(F.col("l")).alias("text"), _grid().alias("cells"))
+    return lines.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list("o")), lambda x: x["line"]).alias("l")).select("doc", shape(F.col("l")).alias("text"), _grid().alias("cells"))
 
 
 _GRID_SQL = "(SELECT unnest([1, 1, 2, 2]) AS date_index, unnest(['T01', 'T02', 'T01', 'T02']) AS target_label, unnest([1, 2, 3, 4])::INTEGER AS cell_index, unnest(['2020-06-15', '2020-06-15', '2021-06-15', '2021-06-15']) AS capture_date) g"
@@ -86,7 +86,7 @@ def _cell_out(rows):
 @query(f"""WITH {_CELL_SQL}, f AS (SELECT * FROM c WHERE NOT bad) SELECT {_CELL_OUT} FROM (SELECT DISTINCT doc FROM c) k CROSS JOIN {_GRID_SQL} LEFT JOIN f ON f.doc = k.doc AND f.date_index = g.date_index AND f.target_label = g.target_label""")
 def matrix_lenient(spark, sf_dir):
     docs = _matrices(spark, sf_dir, lambda lines: F.concat(F.lit('```\n{"date_index": 3, "target_label": "T01"}\nnoise\n'), F.array_join(lines, "\n"), F.lit("\n```")))
-    return _cell_out(docs.select("doc", "cells").join(R.matrix_lenient(docs, "doc", "text", "cells"), "doc", "left"))
+    return _cell_out(R.matrix_lenient(docs, "doc", "text", "cells"))
 
 
 @query(f"""WITH {_CELL_SQL}, o AS (SELECT doc FROM c GROUP BY 1 HAVING count(*) = 4 AND NOT bool_or(bad) AND NOT bool_or(extra)), f AS (SELECT * FROM c SEMI JOIN o USING (doc))
@@ -111,7 +111,7 @@ def sequence_strict(spark, sf_dir):
     present = F.when(x["l_partkey"] % 13 == 0, "1").when(x["l_returnflag"] == "R", "null").when(x["l_linestatus"] == "O", "true").otherwise("false")
     score = F.when(x["l_discount"] * 10 > 0.85, "1.5").otherwise((x["l_discount"] * 10).cast("string"))
     line = F.format_string('{"date_index": %d, "pv_present": %s, "pv_score": %s, "evidence": "e"%s}', "n", present, score, F.when(x["l_partkey"] % 17 == 0, ', "version": 3').otherwise(""))
-    lines = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), line.alias("line")))).alias("l"))
+    lines = rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), line.alias("line")))).alias("l"))
     top = F.when(F.col("doc") % 9 == 0, ', "capture_date": "x"').otherwise("")
     text = F.format_string('{"confidence": 0.5, "quality_flag": "usable", "observations": [%s]%s}', F.array_join(F.transform("l", lambda o: o["line"]), ","), top)
     docs = lines.select("doc", text.alias("text"), F.array(*(F.lit(f"{y}-06-15") for y in range(2020, 2024))).alias("dates"))

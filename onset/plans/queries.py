@@ -230,7 +230,7 @@ def year_pivot_dates(spark, sf_dir):
 @query("""SELECT l_orderkey AS anchor_id, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_dates, count(DISTINCT year(l_shipdate)) AS n_years, CAST(min(year(l_shipdate)) AS INTEGER) AS min_year, CAST(max(year(l_shipdate)) AS INTEGER) AS max_year, string_agg(DISTINCT CAST(CAST(l_shipdate AS DATE) AS VARCHAR), ';' ORDER BY CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS dates FROM lineitem GROUP BY 1""")
 def key_dates_rollup(spark, sf_dir):
     d = F.col("l_shipdate").cast("date")
-    days = F.array_sort(F.collect_set(d))
+    days = F.sort_array(F.collect_set(d))
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias(KEY)).agg(F.size(days).cast("long").alias("n_dates"), F.size(F.array_distinct(F.transform(days, F.year))).cast("long").alias("n_years"), F.year(F.min(d)).alias("min_year"), F.year(F.max(d)).alias("max_year"), F.array_join(F.transform(days, parse.date_text), ";").alias("dates"))
 
 
@@ -364,7 +364,7 @@ def _responses(spark, sf_dir):
     present = F.when(F.col("l_returnflag") == "R", "null").when(F.col("l_tax") == 0, "1").when(F.col("l_linestatus") == "O", "true").otherwise("false")
     line = F.format_string('{"chip_index": %d, "pv_present": %s, "confidence": %s, "quality_flag": "usable"}', "l_linenumber", present, F.col("l_discount").cast("string"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("o"), F.when(F.col("l_suppkey") % 10 == 0, F.lit("```json")).otherwise(line).alias("line"))
-    return rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("text")).withColumn("n", F.lit(5))
+    return rows.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("text")).withColumn("n", F.lit(5))
 
 
 @query("""WITH r AS (SELECT l_orderkey AS doc, CAST(l_linenumber AS INTEGER) AS chip_index, CASE WHEN l_returnflag <> 'R' THEN l_linestatus = 'O' END AS pv_present, l_discount AS confidence, 'usable' AS quality_flag,

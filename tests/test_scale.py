@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from onset.operators import scan
 from onset.plans.queries import QUERIES
 from onset.plans.scan_queries import _dry_states
 
@@ -15,3 +16,8 @@ def plan(df):
 def test_a_made_up_catalog_takes_one_hash_a_key_and_all_cores(spark):
     assert plan(QUERIES["dry_run_catalog"](spark, DATA)).count("sha2(") == 1
     assert _dry_states(spark, DATA).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_a_text_is_parsed_once(spark):
+    for name in ("jsonl_lenient", "matrix_lenient", "matrix_strict", "sequence_strict", "strict_doc_validity"):
+        assert plan(QUERIES[name](spark, DATA)).count("parseJson") == 1, name
