@@ -21,3 +21,10 @@ def test_a_made_up_catalog_takes_one_hash_a_key_and_all_cores(spark):
 def test_a_text_is_parsed_once(spark):
     for name in ("jsonl_lenient", "matrix_lenient", "matrix_strict", "sequence_strict", "strict_doc_validity"):
         assert plan(QUERIES[name](spark, DATA)).count("parseJson") == 1, name
+
+
+def test_scored_matrices_meet_by_chip_alone(spark):
+    df = QUERIES["matrix_presence"](spark, DATA)
+    said = df._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in said.splitlines() if "Exchange hashpartitioning" in x and "REPARTITION" not in x]
+    assert len(dealt) == 2 and all("hashpartitioning(chip_id" in x for x in dealt)
