@@ -259,12 +259,12 @@ def advance(decided: DataFrame, execute: Executor) -> DataFrame:
     names = [c for c in decided.columns if c not in ("action", "next_status", "next_round")]
     df = execute(decided)
     r = F.col("next_round")
-    done = r.withField("results", F.coalesce("_scores", F.array().cast(f"array<{RESULT}>"))).withField("completed", F.lit(True))
+    done = r.withField("results", F.coalesce("_scores", F.array().cast(f"array<{RESULT}>"))).withField("completed", F.lit(True)).cast(ROUND)  # alone: a cast of all rounds copies them
     runs, failed = F.col("action") == "execute_round", F.col("_error").isNotNull()
     said = F.when(failed, F.concat(F.lit("orchestrator_error: "), "_error")).when(~runs & (F.col("next_status") == ERROR) & (F.col("status") != ERROR), "orchestrator_error: no vintages")
     return df.withColumns({
         "notes": F.when(said.isNotNull(), F.concat_ws(" | ", F.nullif("notes", F.lit("")), said)).otherwise(F.col("notes")),
-        "rounds": F.when(runs & ~failed, F.concat("rounds", F.array(done))).otherwise(F.col("rounds")).cast(f"array<{ROUND}>"),
+        "rounds": F.when(runs & ~failed, F.concat("rounds", F.array(done))).otherwise(F.col("rounds")),
         "status": F.when(failed, ERROR).otherwise(F.col("next_status")),
         "next_action": F.when(runs & ~failed, "decide_next_action"),
     }).select(*names)

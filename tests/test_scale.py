@@ -28,3 +28,10 @@ def test_scored_matrices_meet_by_chip_alone(spark):
     said = df._jdf.queryExecution().executedPlan().toString()
     dealt = [x for x in said.splitlines() if "Exchange hashpartitioning" in x and "REPARTITION" not in x]
     assert len(dealt) == 2 and all("hashpartitioning(chip_id" in x for x in dealt)
+
+
+def test_a_round_copies_no_earlier_ones(spark):
+    states = _dry_states(spark, DATA).select(*scan.STATE_COLUMNS, "vintages")
+    once = scan.advance(scan.decide(states), scan.by_column(scan.dry_run_score))
+    assert once.schema["rounds"].dataType.simpleString() == states.schema["rounds"].dataType.simpleString()
+    assert f"AS ARRAY<{scan.ROUND[:20]}".upper() not in plan(once).upper()
