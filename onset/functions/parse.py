@@ -110,7 +110,7 @@ def join_path(root: Column, name: Column) -> Column:
 
 def task_dir(save_to: Column, name: Column) -> Column:
     """Where a task's files are: its folder by that of the drive, and its name."""
-    return join_path(drive_to_mount(save_to), name)
+    return once(drive_to_mount(save_to), lambda root: join_path(root, name))
 
 
 def drive_to_mount(path: Column) -> Column:

@@ -62,9 +62,8 @@ def task_anchor(tasks: DataFrame, anchors: DataFrame, on_missing: str = "raise")
     """``tasks`` with ``_anchor``: the first of their ``anchor_id``, ``grid_id`` and
     the part of ``task_name`` before a date that is an anchor. One exchange: the
     three are looked up as rows, and the first found is taken."""
-    name = _text(tasks, "task_name")
     pattern = r"^(.+)_(\d{8})$"
-    prefix = F.when(name.rlike(pattern), F.regexp_extract(name, pattern, 1))
+    prefix = once(_text(tasks, "task_name"), lambda name: F.when(name.rlike(pattern), F.regexp_extract(name, pattern, 1)))
     numbered = tasks.withColumn("_id", F.struct(*(F.col(c) for c in tasks.columns)))
     tries = numbered.select("_id", F.posexplode(F.array(_text(tasks, "anchor_id"), _text(tasks, "grid_id"), prefix)).alias("_at", "_try"))
     known = anchors.select(_text(anchors, "anchor_id").alias("_try")).where("_try <> ''").distinct().withColumn("_there", F.lit(True))

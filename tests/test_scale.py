@@ -35,3 +35,7 @@ def test_a_round_copies_no_earlier_ones(spark):
     once = scan.advance(scan.decide(states), scan.by_column(scan.dry_run_score))
     assert once.schema["rounds"].dataType.simpleString() == states.schema["rounds"].dataType.simpleString()
     assert f"AS ARRAY<{scan.ROUND[:20]}".upper() not in plan(once).upper()
+
+
+def test_a_task_folder_is_worked_out_once(spark):
+    assert plan(QUERIES["presence_rows"](spark, DATA)).count("^([A-Za-z]):") == 3  # told, and its two parts
